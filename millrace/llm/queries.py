@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, license_scan, mixing, url_filter
+from . import chat, html_extract, license_scan, mixing, url_filter
 from .common import Scratch, read_table
 from .sql import ORACLES
 
@@ -28,6 +28,13 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_extract.extract(pages, "html", "text")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, with digests read back from the formatted text."""
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -65,6 +72,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_licenses": op3_licenses,
+    "op4_html": op4_html,
     "op8_chat": op8_chat,
     "op10_urls": op10_urls,
 }
