@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, license_scan, mixing, url_filter
+from . import chat, html_extract, langid, license_scan, mixing, url_filter
 from .common import Scratch, read_table
 from .sql import ORACLES
 
@@ -35,6 +35,15 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
+    docs = read_table(spark, sf_dir, "documents")
+    learn = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    model = langid.fit(learn, "doc_id", "text", "lang")
+    out = langid.add_language(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, with digests read back from the formatted text."""
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -73,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_licenses": op3_licenses,
     "op4_html": op4_html,
+    "op6_language": op6_language,
     "op8_chat": op8_chat,
     "op10_urls": op10_urls,
 }
