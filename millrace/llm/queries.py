@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, langid, license_scan, mixing, url_filter
+from . import chat, html_extract, langid, license_scan, mixing, packing, url_filter
 from .common import Scratch, read_table
 from .sql import ORACLES
 
@@ -21,6 +21,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").cast("long").alias("doc_id"), "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in bins of 2,048 words."""
+    docs = read_table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "op2")
+    rows = scratch.cut(docs.select(F.col("doc_id").cast("string").alias("key"), F.col("source").cast("string").alias("source"), packing.cluster_of(F.col("text")).alias("cluster"), mixing.word_count(F.col("text")).alias("size")))
+    out = packing.pack(rows)
+    return out.select(F.col("key").cast("long").alias("doc_id"), "occurrence", "piece", "n_pieces", "bin_id", "bin_start", "word_start", "n_words")
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and labels of every whole text."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,6 +89,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_packing": op2_packing,
     "op3_licenses": op3_licenses,
     "op4_html": op4_html,
     "op6_language": op6_language,
