@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, langid, license_scan, mixing, packing, url_filter
+from . import chat, embedding_dedup, html_extract, langid, license_scan, mixing, packing, url_filter
 from .common import Scratch, read_table
 from .sql import ORACLES
 
@@ -44,6 +44,13 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    scratch = Scratch(spark, "op5")
+    out = embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), scratch)
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text."""
     docs = read_table(spark, sf_dir, "documents")
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_licenses": op3_licenses,
     "op4_html": op4_html,
+    "op5_embeddings": op5_embeddings,
     "op6_language": op6_language,
     "op8_chat": op8_chat,
     "op10_urls": op10_urls,
