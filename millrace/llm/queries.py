@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, html_extract, langid, license_scan, mixing, packing, url_filter
+from . import ann, chat, embedding_dedup, html_extract, langid, license_scan, mixing, packing, url_filter
 from .common import Scratch, read_table
 from .sql import ORACLES
 
@@ -60,6 +60,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    scratch = Scratch(spark, "op7")
+    out = ann.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, scratch)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, with digests read back from the formatted text."""
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": op4_html,
     "op5_embeddings": op5_embeddings,
     "op6_language": op6_language,
+    "op7_neighbours": op7_neighbours,
     "op8_chat": op8_chat,
     "op10_urls": op10_urls,
 }
