@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embedding_dedup, html_extract, langid, license_scan, mixing, packing, url_filter
+from . import ann, chat, embedding_dedup, html_extract, langid, license_scan, mixing, packing, text_dedup, url_filter
 from .common import Scratch, read_table
 from .sql import ORACLES
 
@@ -86,6 +86,15 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = text_dedup.classes(docs, Scratch(spark, "op9"))
+    each = found.withColumn("i", F.explode(F.expr("sequence(1L, rows)")))
+    kept = F.col("stands") & ((F.col("i") == 1) | F.col("empty"))
+    return each.select(F.col("id").alias("doc_id"), "class_id", kept.alias("kept"))
+
+
 URL_RULES = (
     url_filter.Rule("allow", "org", "/"),
     url_filter.Rule("block", "example.org", "/es/"),
@@ -110,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_neighbours": op7_neighbours,
     "op8_chat": op8_chat,
+    "op9_minhash": op9_minhash,
     "op10_urls": op10_urls,
 }
