@@ -20,6 +20,8 @@ class LicenseRule:
     regex: str
     priority: int
     confidence: float
+    #: a shorter string that is also in every matching text; one for many rules
+    stem: str = ""
 
 
 #: label, keyword, expression for the full name, SPDX-like identifiers (as words)
@@ -142,11 +144,12 @@ def build_rules() -> tuple[LicenseRule, ...]:
     out = [LicenseRule(label, keyword, regex, 3, 0.9) for label, keyword, regex in _SENTENCES]
     out += _cc_rules()
     for label, keyword, name, ids in _NAMES:
-        out.append(LicenseRule(label, keyword, _GRANT + name, 3, 0.98))
-        out.append(LicenseRule(label, keyword, name, 2, 0.8))
-        out.append(LicenseRule(label, keyword, rf"see (?:the )?{name} for (?:more )?details", 3, 0.85))
+        stem = "licen" if "licen" in name.replace("(?: licen[cs]e)?", "") else keyword
+        out.append(LicenseRule(label, keyword, _GRANT + name, 3, 0.98, stem))
+        out.append(LicenseRule(label, keyword, name, 2, 0.8, stem))
+        out.append(LicenseRule(label, keyword, rf"see (?:the )?{name} for (?:more )?details", 3, 0.85, stem))
         for i in ids:
-            out.append(LicenseRule(label, "spdx", rf"spdx licen[cs]e identifier {i}", 3, 1.0))
-            out.append(LicenseRule(label, "licen", rf"licen[cs]e {i}", 1, 0.6))
-            out.append(LicenseRule(label, "licen", rf"{i} licen[cs]ed", 1, 0.6))
+            out.append(LicenseRule(label, f"identifier {i} ", rf"spdx licen[cs]e identifier {i}", 3, 1.0, "licen"))
+            out.append(LicenseRule(label, f"e {i} ", rf"licen[cs]e {i}", 1, 0.6, "licen"))
+            out.append(LicenseRule(label, f" {i} licen", rf"{i} licen[cs]ed", 1, 0.6, "licen"))
     return tuple(out)

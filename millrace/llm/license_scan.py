@@ -31,8 +31,8 @@ _SPAN = "array<struct<start:int,stop:int,priority:int,rule:int,label:string,conf
 
 def normal_text(text: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    lowered = F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
-    return F.regexp_replace(F.concat(F.lit(" "), lowered, F.lit(" ")), _NOT_WORD, " ")
+    lowered = F.translate(text, upper, upper.lower())
+    return F.coalesce(F.regexp_replace(F.concat(F.lit(" "), lowered, F.lit(" ")), _NOT_WORD, " "), F.lit(" "))
 
 
 def spaces(c: Column) -> Column:
@@ -100,14 +100,12 @@ def scan(df: DataFrame, text_col: str = "text", rules: tuple[LicenseRule, ...] |
             for i, r in enumerate(rules)
         ]
     )
-    keywords = sorted({r.keyword for r in rules})
-    # keywords that hold another one need no test of their own
-    least = [k for k in keywords if not any(o != k and o in k for o in keywords)]
+    # a few stems are tried before the keywords: every text that a rule can match holds its stem
+    stems = sorted({r.stem or r.keyword for r in rules})
+    stems = F.array(*[F.lit(k) for k in stems if not any(o != k and o in k for o in stems)])
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     own = [F.col(f"`{c}`") for c in df.columns if c not in added]
-    gate = F.lit(False)
-    for k in least:
-        gate = gate | F.contains(F.col("__n"), F.lit(k))
+    gate = F.exists(stems, lambda k: F.contains(F.col("__n"), k))
     step = df.select(*own, normal_text(F.col(f"`{text_col}`")).alias("__n"))
     step = step.withColumn("__w", (spaces(F.col("__n")) - 1).cast("long"))
     tried = F.filter(table, lambda r: F.contains(F.col("__n"), r.keyword))
