@@ -48,24 +48,22 @@ _SEEN[0x80:] = np.arange(0x80, 0x100)
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of texts laid end to end, and each text's offsets into them.
 
-    Every text begins with a blank; runs of blanks count as one.
+    Three blanks stand before every text, so that no n-gram reaches into another one; inside, runs of blanks count as one.
     """
     n = len(offsets) - 1
-    seen = np.empty(len(data) + n, np.uint8)
+    seen = np.full(len(data) + 3 * (n + 1), 32, np.uint8)
+    heads = offsets + 3 * np.arange(n + 1)  # of each text, and of the end
     mask = np.ones(len(seen), bool)
-    heads = offsets[:-1] + np.arange(n)
-    mask[heads] = False
+    mask[(heads[:, None] + np.arange(3)).reshape(-1)] = False
     seen[mask] = _SEEN[data]
-    seen[heads] = 32
     # letters of the Latin-1 block in lower case
     wide = np.flatnonzero((seen[1:] >= 0x80) & (seen[1:] <= 0x9E) & (seen[:-1] == 0xC3)) + 1
     seen[wide] += 0x20
     blank = seen == 32
     keep = ~blank
     keep[1:] |= ~blank[:-1]
-    keep[heads] = True
-    ends = np.concatenate([heads, [len(seen)]])
-    at = np.concatenate([[0], np.cumsum(keep)])[ends]
+    keep |= ~mask
+    at = np.concatenate([[0], np.cumsum(keep)])[heads]
     b = seen[keep].astype(_U)
     m = len(b)
     two, three, four = (np.zeros(m, _U) for _ in range(3))
