@@ -2,3 +2,10 @@
 
 Nothing outside this subpackage imports it.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this subpackage travel to the executors whole, which need not have it installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: rows of an Arrow batch, at most: texts are long, and a batch is in memory more than once
+ARROW_ROWS = 1000
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -25,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Bound the rows of Arrow batches of this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a table written by :func:`cut`."""
     jvm = spark.sparkContext._jvm
@@ -43,6 +54,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         atexit.register(self._clean)
@@ -55,6 +67,11 @@ class Scratch:
         out._millrace_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of steps whose results are tables by now."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
             path = getattr(f, "_millrace_path", None)
@@ -69,6 +86,7 @@ class Scratch:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

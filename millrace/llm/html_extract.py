@@ -23,7 +23,6 @@ import html as _html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -288,17 +287,18 @@ def learn(pages: list[tuple[str, str]], prior: float = 1.0, scale: float = 0.25)
     return Weights(words, tags, -scale)
 
 
-@lru_cache(maxsize=1)
 def default_weights() -> Weights:
+    """The weights of the labelled pages that come with the package."""
     from .html_training import LABELLED
 
     return learn(list(LABELLED))
 
 
-def main_text(html: Column) -> Column:
+def main_text(html: Column, weights: Weights | None = None) -> Column:
+    w = weights or default_weights()  # learned once, on the driver
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w = default_weights()
         for pages in batches:
             yield pd.Series([extract_text(p, w) for p in pages], dtype=object)
 

@@ -10,11 +10,14 @@ more closely than a set of k-mers does.
 
 *Candidates.*  Texts that are equal are one class, by hash, before anything is compared.
 Classes that agree in a sketch are a bucket.  Every member is compared with the
-bucket's smallest class; this joins large groups of copies with one comparison a member.
-Then every pair of a bucket whose two classes are still in different
-components is compared as well.  Only buckets with more than
-``WIDE`` such pairs are first divided by a second sketch: texts over the threshold agree in
-many sketches, texts that share one passage in few.
+bucket's most central class (whose buckets are largest); this joins large groups of copies with one comparison a member.
+Buckets may still hold classes of different components: families of looser copies, or
+texts that share a passage.  Their pairs are not all compared, as there can be as many as
+the square of a bucket.  An exact *prefix filter* first sorts their members into families: with
+the k-mers of the members in order of their frequency, rarest first, two texts over the
+threshold share one of their first ``n - ceil(THRESHOLD * n) + 1``; what only a passage has in
+common is sorted last.  No pair over the threshold is lost.  Inside a family, blocks of bounded
+size are compared by counting common k-mers through an index; only links leave a task.
 
 *Verification.*  Pairs whose lengths alone rule out the threshold are dropped.  For the
 others the labelled k-mers of both texts are aligned: the longest chain of equal
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -48,8 +51,8 @@ K = 5
 THRESHOLD = 0.8
 SKETCHES = 12
 MINIMA = 3
-#: pairs of a bucket across components above which a second sketch divides it
-WIDE = 500
+#: labelled k-mers of a block of a family
+FAMILY_BLOCK = 400_000
 
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
@@ -166,18 +169,18 @@ def _sketches(text: Column, sketches: int, minima: int) -> Column:
 
 
 def _labels(text: Column) -> Column:
-    """The labelled k-mers of a text as bytes."""
+    """The labelled k-mers of a text, in order."""
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            out: list[bytes] = []
+            values, ends = [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
             for _, _, data, offsets in slices(column):
                 w, at = word_hashes(data, offsets)
                 h, to = shingle_hashes(w, at, K)
-                v = label_occurrences(h, to)
-                out += [v[to[i] : to[i + 1]].tobytes() for i in range(len(to) - 1)]
-            yield pa.array(out, pa.binary())
+                values.append(label_occurrences(h, to).view(np.int64))
+                ends.append(to[1:] + ends[-1][-1])
+            yield pa.ListArray.from_arrays(np.concatenate(ends).astype(np.int32), pa.array(np.concatenate(values)))
 
     return run(text)
 
@@ -186,7 +189,7 @@ def _similar(a: Column, b: Column, threshold: float) -> Column:
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
-            yield pd.Series([similarity(np.frombuffer(x, _U), np.frombuffer(y, _U), threshold) for x, y in zip(left, right, strict=True)], dtype="float64")
+            yield pd.Series([similarity(x, y, threshold) for x, y in zip(left, right, strict=True)], dtype="float64")
 
     return run(a, b)
 
@@ -196,19 +199,123 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.lower(F.coalesce(text, F.lit("")))))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) over the threshold.  ``texts``: node, text, one row a node."""
-    pairs = scratch.cut(pairs.select("a", "b").distinct())
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    labels = scratch.cut(texts.join(nodes, "node", "left_semi").select("node", _labels(F.lower("text")).alias("v")))
-    one = pairs.join(labels.select(F.col("node").alias("a"), F.col("v").alias("va")), "a")
-    two = one.join(labels.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
+def _verify(pairs: DataFrame, labels: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) over the threshold.  ``labels``: node, v."""
+    short = F.transform("v", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))  # 31 bits are enough within a pair
+    held = labels.select("node", short.alias("v"))
+    one = pairs.join(held.select(F.col("node").alias("a"), F.col("v").alias("va")), "a")
+    two = one.join(held.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
     good = two.select("a", "b", _similar(F.col("va"), F.col("vb"), threshold).alias("s")).filter(F.col("s") >= threshold)
     out = scratch.cut(good.select("a", "b"))
-    scratch.drop(labels)
+    scratch.release()
+    return out
+
+
+def _families(open_: DataFrame, labels: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(node, family): classes that an exact prefix filter can't tell apart.
+
+    ``open_``: node, component.  Two classes over the threshold are in one family.
+    """
+    grams = labels.join(open_, "node").select("node", "component", F.size("v").alias("n"), F.explode("v").alias("gram"))
+    grams = scratch.cut(grams)
+    # only k-mers that occur in several components can find a pair; the others come first in the order
+    spread = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gram", "df")
+    shared = scratch.cut(grams.join(scratch.cut(spread), "gram"))
+    scratch.drop(grams)
+    scratch.release()
+    mine = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "gram")) - 1
+    prefix = scratch.cut(shared.withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n"))).select("gram", "node", "component"))
+    scratch.drop(shared)
+    scratch.release()
+    heads = prefix.groupBy("gram").agg(F.min("node").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gram", "a")
+    out = components(prefix.join(scratch.cut(heads), "gram").select("a", F.col("node").alias("b")).filter("a <> b"), scratch)
+    scratch.drop(prefix)
+    return out.select("node", F.col("component").alias("family"))
+
+
+def compare_blocks(left: list[np.ndarray], right: list[np.ndarray], ids: tuple[np.ndarray, np.ndarray], comps: tuple[np.ndarray, np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links between two blocks of label sequences that join what is not joined yet.
+
+    Common labels are counted through an index of the right block; only pairs whose count
+    allows the threshold, and that no link connects so far, are aligned.
+    """
+    out: list[tuple[int, int]] = []
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    sizes_l, sizes_r = np.array([len(v) for v in left]), np.array([len(v) for v in right])
+    gram = np.concatenate(right)
+    owner = np.repeat(np.arange(len(right)), sizes_r)
+    order = np.argsort(gram, kind="stable")
+    gram, owner = gram[order], owner[order]
+    step = max(1, (1 << 21) // max(1, len(right)))
+    at = 0
+    while at < len(left):
+        stop = min(len(left), at + step)
+        flat = np.concatenate(left[at:stop])
+        lo, hi = np.searchsorted(gram, flat, "left"), np.searchsorted(gram, flat, "right")
+        n = hi - lo
+        if stop > at + 1 and n.sum() > 1 << 22:  # fewer at once, so that memory is bounded
+            step = max(1, (stop - at) // 2)
+            continue
+        who = np.repeat(np.repeat(np.arange(stop - at), sizes_l[at:stop]), n)
+        where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(who * len(right) + owner[where], minlength=(stop - at) * len(right)).reshape(stop - at, len(right))
+        need = threshold / (1 + threshold) * (sizes_l[at:stop, None] + sizes_r[None, :]) - 1e-9
+        i, j = np.nonzero((common >= need) & (comps[0][at:stop, None] != comps[1][None, :]) & (ids[0][at:stop, None] != ids[1][None, :]))
+        for x, y in zip((i + at).tolist(), j.tolist(), strict=True):
+            a, b = find(int(comps[0][x])), find(int(comps[1][y]))
+            if a != b and similarity(left[x], right[y], threshold) >= threshold:
+                up[max(a, b)] = min(a, b)
+                out.append((int(ids[0][x]), int(ids[1][y])))
+        at = stop
     return out
 
 
+def _family_links(families: DataFrame, labels: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) inside families, by blocks of bounded size; no pair that is not a link leaves a task.
+
+    ``families``: node, component, family.
+    """
+    sized = scratch.cut(labels.join(families, "node").select("node", "component", "family", F.size("v").alias("n"), "v"))
+    total = scratch.cut(sized.groupBy("family").agg(F.sum("n").alias("grams")))
+    k = F.ceil(F.col("grams") / F.lit(float(FAMILY_BLOCK))).cast("int")
+    dealt = sized.join(total.withColumn("k", k).select("family", "k"), "family").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(9)), F.col("k")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select(
+        "family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "component", "v", "k"
+    )
+    small = total.filter(F.col("grams") <= FAMILY_BLOCK).agg(F.sum("grams")).first()[0] or 0
+    group = F.when(F.col("k") > 1, F.xxhash64("family", "low", "high")).otherwise(F.pmod(F.xxhash64("family"), F.lit(max(1, 2 * small // FAMILY_BLOCK))))
+
+    def run(table: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        fam, low, high, mine, node, comp = (table.column(c).to_numpy() for c in ("family", "low", "high", "mine", "node", "component"))
+        v = table.column("v").combine_chunks()
+        values, ends = v.flatten().to_numpy(), np.concatenate([[0], np.cumsum(v.value_lengths().to_numpy())])
+        row = lambda k: values[ends[k] : ends[k + 1]]
+        order = np.lexsort((high, low, fam))
+        cut = np.flatnonzero((np.diff(fam[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
+        for rows in np.split(order, cut):
+            if len(rows) < 2:
+                continue
+            a, b = rows[mine[rows] == low[rows[0]]], rows[mine[rows] == high[rows[0]]]
+            if len(a) and len(b):
+                out += compare_blocks([row(x) for x in a], [row(x) for x in b], (node[a], node[b]), (comp[a], comp[b]), threshold)
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    links = scratch.cut(met.withColumn("g", group).groupBy("g").applyInArrow(run, "a long, b long"))
+    scratch.drop(sized)
+    scratch.release()
+    return links
+
+
 def classes(
     df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sketches: int = SKETCHES, minima: int = MINIMA
 ) -> DataFrame:
@@ -223,43 +330,39 @@ def classes(
     least = F.min_by("id", F.struct(F.col("id").isNull(), F.col("id"))).alias("id")
     nodes = sketched.filter("n > 0").groupBy("key").agg(least, F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     nodes = scratch.cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    # one text a node: of the rows with the node's id and key
-    held = docs.join(nodes.select("key", "node", F.col("id").alias("own")), "key").filter(F.col("id").eqNullSafe(F.col("own")))
-    texts = held.groupBy("node").agg(F.first("text").alias("text"))
 
     laid = nodes.select("node", "n", F.posexplode("sketches").alias("band", "sketch"))
-    crowd = laid.groupBy("band", "sketch").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("g")).filter("g > 1")
-    crowd = scratch.cut(crowd.select("band", "sketch", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
-    members = scratch.cut(laid.join(crowd, ["band", "sketch"]))
-    close = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
-    first = members.filter("node <> lead").filter(close(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    links = _verify(first, texts, threshold, scratch)
+    sizes = laid.groupBy("band", "sketch").agg(F.count("*").alias("g")).filter("g > 1")
+    members = scratch.cut(laid.join(scratch.cut(sizes), ["band", "sketch"]))
+    # the leader of a bucket is its most central class: the one whose buckets are largest
+    central = scratch.cut(members.groupBy("node", "n").agg(F.sum(F.log("g")).alias("weight")))
+    weighed = members.join(central.select("node", "weight"), "node")
+    lead = F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("lead")
+    leads = scratch.cut(weighed.groupBy("band", "sketch").agg(lead).select("band", "sketch", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
+    close = F.least("n", "lead_n") >= F.lit(threshold) * F.greatest("n", "lead_n")
+    first = members.join(leads, ["band", "sketch"]).filter(F.col("node") != F.col("lead")).filter(close)
+    first = scratch.cut(first.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct())
+
+    # the texts of all members, one a node: of the rows with the node's id and key
+    needed = scratch.cut(central.select("node").join(nodes.select("node", "key", F.col("id").alias("own")), "node"))
+    held = docs.join(needed, "key").filter(F.col("id").eqNullSafe(F.col("own")))
+    labels = scratch.cut(held.groupBy("node").agg(F.first("text").alias("text")).select("node", _labels(F.lower("text")).alias("v")))
+    scratch.release()
+    links = _verify(first, labels, threshold, scratch)
     label = components(links, scratch)
 
-    # what is left: pairs of a bucket in different components
-    placed = scratch.cut(
-        members.select("band", "sketch", "node", "n").join(label, "node", "left").select("band", "sketch", "node", "n", F.coalesce("component", "node").alias("component"))
-    )
-    per = placed.groupBy("band", "sketch", "component").agg(F.count("*").alias("c"))
-    open_ = per.groupBy("band", "sketch").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).cast("long").alias("pairs")).filter("pairs > 0")
-    open_ = scratch.cut(open_)
-    waiting = placed.join(open_, ["band", "sketch"])
-    narrow = waiting.filter(F.col("pairs") <= WIDE).select("band", "sketch", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("sketch2"), "node", "n", "component")
-    wide = waiting.filter(F.col("pairs") > WIDE)
-    second = wide.join(nodes.select("node", "sketches"), "node").select("band", "sketch", F.posexplode("sketches").alias("band2", "sketch2"), "node", "n", "component").filter("band <> band2")
-    dealt = scratch.cut(narrow.unionByName(second))
-    keys = ["band", "sketch", "band2", "sketch2"]
-    mixed = dealt.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*keys)
-    rest = scratch.cut(dealt.join(scratch.cut(mixed), keys))
-    left, right = rest.alias("x"), rest.alias("y")
-    met = left.join(right, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]).filter(
-        (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & close(F.col("x.n"), F.col("y.n"))
-    )
-    late = scratch.cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(scratch.cut(first.distinct()), ["a", "b"], "left_anti"))
-    if not late.isEmpty():
-        more = _verify(late, texts, threshold, scratch)
+    # what is left: buckets whose members are in different components
+    placed = scratch.cut(members.select("band", "sketch", "node").join(label, "node", "left").select("band", "sketch", "node", F.coalesce("component", "node").alias("component")))
+    several = placed.groupBy("band", "sketch").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "sketch")
+    waiting = scratch.cut(placed.join(scratch.cut(several), ["band", "sketch"]).select("node", "component").distinct())
+    if not waiting.isEmpty():
+        families = _families(waiting, labels, threshold, scratch)
+        # the pairs of the star are known; all others of a family are compared in blocks
+        more = _family_links(families.join(waiting, "node"), labels, threshold, scratch)
         if not more.isEmpty():
             label = components(links.unionByName(more), scratch)
+    scratch.drop(labels)
+    scratch.release()
 
     # the smallest id of a component
     in_one = scratch.cut(label.join(nodes.select("node", "id", "key"), "node"))
