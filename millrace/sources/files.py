@@ -183,10 +183,11 @@ def _binary(spark: SparkSession, c: SourceConfig) -> DataFrame:
 @register("zip")
 def _zip(spark: SparkSession, c: SourceConfig) -> DataFrame:
     """Lines of the members of zip archives that match a pattern; an archive is unpacked where it is read."""
-    pattern = c.options.get("member_pattern", ".*")
+    pattern, encoding = c.options.get("member_pattern", ".*"), c.options.get("encoding", "utf-8")
 
     def unpack(batches):
         import io
+        import re
         import zipfile
 
         import pandas as pd
@@ -198,7 +199,7 @@ def _zip(spark: SparkSession, c: SourceConfig) -> DataFrame:
                         if re.search(pattern, member):
                             with z.open(member) as f:
                                 held: list[str] = []
-                                for line in io.TextIOWrapper(f, c.options.get("encoding", "utf-8")):
+                                for line in io.TextIOWrapper(f, encoding):
                                     held.append(line.rstrip("\r\n"))
                                     if len(held) == 10_000:
                                         yield pd.DataFrame({"archive": path, "member": member, "value": held})
