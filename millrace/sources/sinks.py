@@ -229,3 +229,50 @@ def archive_landing(spark: SparkSession, files: list[str], archive: str, table:
             fs.move(f, target)
             out.append(target)
     return out
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 10_000, partitions: int | None = None, **properties: str) -> None:
+    """Rows into a database table (its driver must be on the class path)."""
+    writer = (df.coalesce(partitions) if partitions else df).write.format("jdbc").mode(mode).option("url", url).option("dbtable", table).option("batchsize", batch)
+    for k, v in properties.items():
+        writer = writer.option(k, v)
+    writer.save()
+
+
+def clustered(df: DataFrame, cluster_by: list[str], partitions: int | None = None) -> DataFrame:
+    """Rows laid out by some columns, so that file statistics let scans skip: ranges, sorted inside."""
+    cols = [col(c) for c in cluster_by if c in df.columns]
+    return df.repartitionByRange(partitions, *cols).sortWithinPartitions(*cols) if partitions else df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+
+
+def reset(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Delete a contract's data, quarantine and log; the paths that were there."""
+    files = Files(spark)
+    there = [p for p in paths if files.exists(p)]
+    for p in there:
+        files.delete(p)
+    return there
+
+
+def describe(spark: SparkSession, table: str, comment: str | None = None, columns: dict[str, str] | None = None, properties: dict[str, str] | None = None) -> None:
+    """Comments and properties of a catalog table."""
+    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if comment is not None:
+        spark.sql(f"COMMENT ON TABLE {table} IS {quote(comment)}")
+    for name, text in (columns or {}).items():
+        spark.sql(f"ALTER TABLE {table} ALTER COLUMN `{name}` COMMENT {quote(text)}")
+    if properties:
+        spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({', '.join(f'{quote(k)} = {quote(v)}' for k, v in properties.items())})")
+
+
+def secondary(df: DataFrame, targets: list[dict[str, Any]]) -> None:
+    """The same rows to further targets; the frame is computed once."""
+    df = df.persist()
+    try:
+        for t in targets:
+            if t["format"] == "jdbc":
+                write_jdbc(df, t["url"], t["table"], t.get("mode", "append"))
+            else:
+                write_files(df, t["path"], t["format"], t.get("mode", "overwrite"), t.get("partition_by"))
+    finally:
+        df.unpersist()
