@@ -39,4 +39,15 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length('<|im_start|>') + length(er) + 1 + length(et) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op8_chat": _OP8, "op10_urls": _op10()}
+_OP5 = """
+WITH RECURSIVE w AS (SELECT len(embedding) AS n FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+ok AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = (SELECT n FROM w)
+  AND list_count(embedding) = len(embedding) AND isfinite(list_sum(embedding::DOUBLE[])) AND (list_max(embedding) <> 0 OR list_min(embedding) <> 0)),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, p.b FROM reach r JOIN pairs p ON r.other = p.a),
+comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON vec_id = id LEFT JOIN n ON a = vec_id"""
+
+ORACLES: dict[str, str] = {"op5_embeddings": _OP5, "op8_chat": _OP8, "op10_urls": _op10()}
