@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -31,7 +33,7 @@ class _Loader(yaml.SafeLoader):
 _Loader.yaml_implicit_resolvers = {
     k: [(tag, rx) for tag, rx in v if tag != "tag:yaml.org,2002:bool"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()
 }
-_Loader.add_implicit_resolver("tag:yaml.org,2002:bool", __import__("re").compile(r"^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
+_Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile(r"^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
 
 
 def deep_merge(base: Any, over: Any) -> Any:
@@ -115,7 +117,7 @@ def _govern(c: Contract) -> Contract:
     return c
 
 
-def _created_post(c: Contract) -> set[str]:
+def created_post(c: Contract) -> set[str]:
     """Columns that only a post transform makes."""
     made: set[str] = set()
     for t in c.transformations:
@@ -133,8 +135,12 @@ def expand_rules(c: Contract, links: dict[str, DataFrame]) -> list[R.Rule]:
     """Row rules of the fields and the contract, generated ones first; each with its phase."""
     out: list[R.Rule] = []
     written: list[R.Rule] = []
-    made = _created_post(c)
-    phase_of = lambda text, given=None: given or ("post" if any(__import__("re").search(rf"\b{m}\b", text) for m in made) else "pre")
+    made = created_post(c)
+
+    def phase_of(text: str, given: str | None = None) -> str:
+        """A rule without a phase is judged after the post transforms if it reads a column that they make."""
+        return given or ("post" if any(re.search(rf"\b{re.escape(m)}\b", text) for m in made) else "pre")
+
     for item in c.row_rules:
         written += _row_rule(item, links, phase_of)
     said = {r.sql for r in written}
@@ -161,7 +167,7 @@ def expand_rules(c: Contract, links: dict[str, DataFrame]) -> list[R.Rule]:
     return out + written
 
 
-def _row_rule(item: Any, links: dict[str, DataFrame], phase_of) -> list[R.Rule]:
+def _row_rule(item: Any, links: dict[str, DataFrame], phase_of: Callable[..., str]) -> list[R.Rule]:
     if not isinstance(item, dict):
         raise ContractError(f"not a rule: {item!r}")
     if "sql" in item:

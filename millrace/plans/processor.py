@@ -17,6 +17,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import run_sql
 from ..operators import dataset_rules as D
 from ..operators import governance as G
 from ..operators import merge as M
@@ -26,7 +27,7 @@ from ..operators import scd2 as V
 from ..operators import slo as O
 from ..operators import transforms as T
 from ..sources import files, incremental, sinks
-from .contract import Contract, ContractError, expand_dataset_rules, expand_rules, load
+from .contract import Contract, ContractError, created_post, expand_dataset_rules, expand_rules, load
 
 
 class DatasetRuleFailed(RuntimeError):
@@ -73,8 +74,6 @@ class Processor:
             if link.get("filter"):
                 df = df.filter(F.expr(link["filter"]))
             if link.get("query"):
-                from ..functions.expressions import run_sql
-
                 df = run_sql(df, link["query"].replace("{link}", link["name"]), {link["name"]: df})
             if link.get("columns"):
                 df = df.select(*link["columns"])
@@ -124,9 +123,7 @@ class Processor:
         return Result(good, bad, results, info, raw)
 
     def _made_later(self, name: str) -> bool:
-        from .contract import _created_post
-
-        return name in _created_post(self.contract)
+        return name in created_post(self.contract)
 
     def _dataset_rules(self, good: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame, list[D.DatasetResult]]:
         c = self.contract
