@@ -62,7 +62,8 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.parquet(path)
+        # zstd, as snappy's direct buffers stay until a full collection and add up over many small tables
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._millrace_path = path
         return out

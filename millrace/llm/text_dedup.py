@@ -52,7 +52,7 @@ THRESHOLD = 0.8
 SKETCHES = 12
 MINIMA = 3
 #: labelled k-mers of a block of a family
-FAMILY_BLOCK = 400_000
+FAMILY_BLOCK = 200_000
 
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
@@ -291,7 +291,7 @@ def _family_links(families: DataFrame, labels: DataFrame, threshold: float, scra
         "family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "component", "v", "k"
     )
     small = total.filter(F.col("grams") <= FAMILY_BLOCK).agg(F.sum("grams")).first()[0] or 0
-    group = F.when(F.col("k") > 1, F.xxhash64("family", "low", "high")).otherwise(F.pmod(F.xxhash64("family"), F.lit(max(1, 2 * small // FAMILY_BLOCK))))
+    group = F.when(F.col("k") > 1, F.xxhash64("family", "low", "high")).otherwise(F.pmod(F.xxhash64("family"), F.lit(max(1, 16 * small // FAMILY_BLOCK))))
 
     def run(table: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
@@ -345,7 +345,8 @@ def classes(
 
     # the texts of all members, one a node: of the rows with the node's id and key
     needed = scratch.cut(central.select("node").join(nodes.select("node", "key", F.col("id").alias("own")), "node"))
-    held = docs.join(needed, "key").filter(F.col("id").eqNullSafe(F.col("own")))
+    # shuffled at every size: which texts are needed grows with the input
+    held = docs.join(needed.hint("merge"), "key").filter(F.col("id").eqNullSafe(F.col("own")))
     labels = scratch.cut(held.groupBy("node").agg(F.first("text").alias("text")).select("node", _labels(F.lower("text")).alias("v")))
     scratch.release()
     links = _verify(first, labels, threshold, scratch)
