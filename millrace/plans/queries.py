@@ -334,6 +334,30 @@ def rule_check_in_place(spark: SparkSession, sf: str) -> DataFrame:
     return R.check_in_place(table(spark, sf, "orders"), _three_rules())
 
 
+_LINE_RULES = (
+    ("l_quantity_range", "l_quantity BETWEEN 1 AND 45"),
+    ("l_discount_range", "l_discount >= 0 AND l_discount <= 0.08"),
+    ("l_returnflag_accepted_values", "l_returnflag IN ('A','N','R')"),
+    ("l_orderkey_not_null", "l_orderkey IS NOT NULL"),
+    ("price_per_unit", "l_extendedprice / l_quantity < 2000"),
+)
+
+
+@query(
+    "SELECT count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad FROM (SELECT "
+    + " AND ".join(f"coalesce({t}, false)" for _, t in _LINE_RULES)
+    + " AS ok FROM lineitem)"
+)
+def rule_validate_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """Five rules over every line, split and counted in one pass."""
+    rules = [
+        R.in_range("l_quantity", 1, 45), R.in_range("l_discount", 0, 0.08), R.accepted_values("l_returnflag", ["A", "N", "R"]), R.not_null("l_orderkey"),
+        R.custom("price_per_unit", "l_extendedprice / l_quantity < 2000"),
+    ]
+    failed = F.size(col(R.ERRORS)) > 0
+    return R.evaluate(table(spark, sf, "lineitem"), rules).agg(F.count_if(~failed).alias("good"), F.count_if(failed).alias("bad"))
+
+
 # -- dataset rules ---------------------------------------------------------------
 def _dataset(rules: Callable[[], list[D.DatasetRule]], source: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
