@@ -4,6 +4,7 @@ import sys
 import pytest
 
 from millrace.plans import queries as Q
+from millrace.plans import table_queries  # noqa: F401 - registers its queries
 
 sys.path.insert(0, os.path.dirname(__file__))
 from oracle import FOLDER, same  # noqa: E402
