@@ -45,6 +45,8 @@ class Result:
     dataset_results: list[D.DatasetResult] = field(default_factory=list)
     run: G.RunInfo | None = None
     source: DataFrame | None = None
+    #: the frame that good and bad are two filters of, where that is all they are
+    evaluated: DataFrame | None = None
 
     def __iter__(self):
         return iter((self.good, self.bad))
@@ -53,8 +55,11 @@ class Result:
         return (self.good, self.bad)[i]
 
     def counts(self) -> dict[str, int]:
-        """Rows of source, good and quarantined."""
+        """Rows of source, good and quarantined; good and bad by one aggregate where one frame holds both."""
         source = self.source.count() if self.source is not None else 0
+        if self.evaluated is not None:
+            n = self.evaluated.agg(F.count("*").alias("n"), F.count_if(F.size(R.ERRORS) > 0).alias("bad")).first()
+            return G.reconcile_counts(source, n["n"] - n["bad"], n["bad"])
         return G.reconcile_counts(source, self.good.count(), self.bad.count())
 
 
@@ -101,12 +106,15 @@ class Processor:
         evaluated = R.evaluate(df, [r for r in rules if r.phase == "pre"], errors)
         evaluated = evaluated.drop(*[x for x in evaluated.columns if x.startswith("__bad_")])
         good, bad = R.split(evaluated)
+        pre_good = good
         good = T.apply(good, c.transformations, self.context, "post")
         post = [r for r in rules if r.phase == "post"]
         if post:
             good, late = R.split(R.evaluate(good, post))
             bad = bad.unionByName(late, allowMissingColumns=True)
+        one_frame = good is pre_good and not post
         good, bad, results = self._dataset_rules(good, bad)
+        one_frame = one_frame and (c.quarantine.get("on_dataset_failure", "continue") != "quarantine" or all(x.passed is not False for x in results))
         if c.lineage.get("enabled", True):
             flags = c.lineage.get("columns")
             good = G.lineage(good, info, flags, c.lineage.get("upstream_prefix"))
@@ -120,7 +128,7 @@ class Processor:
                 raise QuarantineNotAllowed(f"{c.name}: rows were rejected")
         if not c.quarantine.get("include_error_reason", True):
             bad = bad.drop(R.ERRORS, R.CATEGORIES)
-        return Result(good, bad, results, info, raw)
+        return Result(good, bad, results, info, raw, evaluated if one_frame else None)
 
     def _made_later(self, name: str) -> bool:
         return name in created_post(self.contract)
