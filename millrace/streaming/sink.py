@@ -70,6 +70,13 @@ class StreamSink:
         self.counts = Counts()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read once, though it is counted, stored and quarantined
+        try:
+            self._process(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
         df = decode(batch, self.processor.contract.fields, self.json_value) if self.json_value else batch
         superseded = 0
         if self.keys and self.order:
