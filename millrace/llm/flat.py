@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text that are worked on at once; a longer text is worked on alone
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 
