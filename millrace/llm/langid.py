@@ -10,7 +10,7 @@ texts whose two best losses lie close are flagged as ambiguous.
 Up to six languages have the exhaustive code (``2^(k-1) - 1`` bits), more have the
 best of several seeded random codes.
 
-Training reads at most ``PER_LANGUAGE`` whole texts of each language, chosen by a hash of
+Training reads about ``PER_LANGUAGE`` whole texts of each language, chosen by a hash of
 their id; prediction reads every whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .flat import slices
 
-#: whole texts of a language to learn from, at most (about; twice as many are never exceeded)
+#: whole texts of a language to learn from, about; over all languages never more than twice as many
 PER_LANGUAGE = 400
 #: hashed n-grams
 DIMENSIONS = 1 << 13
