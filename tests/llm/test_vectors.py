@@ -55,6 +55,25 @@ def test_counts_go_through_blocks(spark, monkeypatch):
     assert {r.id: (r.n_links, r.component) for r in got} == brute(rows)
 
 
+def test_every_pair_in_a_dense_group_is_found(spark):
+    """Pairs of cosine 0.91 among thousands of vectors of a mutual cosine near 0.8."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    hot = unit(0.8**0.5 * unit(rng.standard_normal(64)) + 0.2**0.5 * unit(rng.standard_normal((3000, 64))))
+    side = unit(rng.standard_normal((300, 64)))
+    side = unit(side - (side * hot[:300]).sum(axis=1, keepdims=True) * hot[:300])
+    x = np.concatenate([hot, 0.91 * hot[:300] + (1 - 0.91**2) ** 0.5 * side]).astype(np.float32)
+    y = unit(x.astype(np.float64))
+    link = y @ y.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert link.sum() >= 600
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r.id: r for r in E.near_duplicates(spark.createDataFrame(rows, KIND), Scratch(spark, "t")).collect()}
+    assert [got[i].n_links for i in range(len(x))] == link.sum(axis=1).tolist()
+    a, b = np.nonzero(link)
+    assert all(got[i].component == got[j].component for i, j in zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_repeated_rows_and_empty(spark):
     rows = [(1, [1.0, 0.0], 0)] * 3 + [(2, [0.0, 1.0], 0)]
     got = E.near_duplicates(spark.createDataFrame(rows, KIND), Scratch(spark, "t")).collect()
