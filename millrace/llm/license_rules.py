@@ -26,7 +26,8 @@ class LicenseRule:
 
 #: label, keyword, expression for the full name, SPDX-like identifiers (as words)
 _NAMES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
-    ("mit", "mit", r"(?:mit|expat) licen[cs]e", ("mit",)),
+    ("mit", "mit", r"mit licen[cs]e", ("mit",)),
+    ("mit", "expat", r"expat licen[cs]e", ()),
     ("mit-0", "attribution", r"mit no attribution(?: licen[cs]e)?", ("mit 0",)),
     ("apache-1.1", "apache", r"apache(?: software)? licen[cs]e (?:version |v )?1 1", ("apache 1 1",)),
     ("apache-2", "apache", r"apache(?: software)? licen[cs]e (?:version |v )?2(?: 0)?", ("apache 2 0", "apache 2")),
@@ -75,8 +76,9 @@ _NAMES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("busl", "business source", r"business source licen[cs]e(?: 1 1)?", ("busl 1 1",)),
     ("sspl", "server side", r"server side public licen[cs]e", ("sspl 1 0",)),
     ("elastic-2", "elastic", r"elastic licen[cs]e(?: 2 0)?", ("elastic 2 0",)),
-    ("openrail", "openrail", r"(?:bigscience |creativeml )?open ?rail(?: m)?(?: licen[cs]e)?", ("openrail",)),
-    ("bigscience", "rail", r"responsible ai licen[cs]e", ("rail",)),
+    ("openrail", "openrail", r"(?:bigscience |creativeml )?openrail(?: m)?(?: licen[cs]e)?", ("openrail",)),
+    ("openrail", "open rail", r"(?:bigscience |creativeml )?open rail(?: m)?(?: licen[cs]e)?", ()),
+    ("bigscience", "responsible ai", r"responsible ai licen[cs]e", ("rail",)),
 )
 
 _GRANT = (
@@ -104,10 +106,11 @@ _SENTENCES: tuple[tuple[str, str, str], ...] = (
     ("all-rights-reserved", "all rights reserved", r"all rights reserved"),
     ("all-rights-reserved", "reproduced", r"no part of this (?:work|publication|book) may be reproduced"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
-    ("proprietary", "unauthorized", r"unauthori[sz]ed copying of this (?:file|work)"),
+    ("proprietary", "ed copying of this", r"unauthori[sz]ed copying of this (?:file|work)"),
     ("non-commercial", "commercial", r"(?:for )?non ?commercial use only"),
     ("non-commercial", "commercial", r"not for commercial use"),
-    ("research-only", "research", r"for (?:academic|research)(?: and (?:academic|research))? (?:use|purposes) only"),
+    ("research-only", "for research", r"for research(?: and (?:academic|research))? (?:use|purposes) only"),
+    ("research-only", "for academic", r"for academic(?: and (?:academic|research))? (?:use|purposes) only"),
     ("fair-use", "fair use", r"fair use under (?:the )?copyright"),
     ("copyright", "copyright", r"copyright (?:c )?[12][0-9]{3}"),
     ("copyright", "copyright", r"(?:c )?copyright by"),

@@ -1,4 +1,6 @@
 import re
+from itertools import product
+from re import _parser
 
 import pytest
 
@@ -96,3 +98,50 @@ def test_keyword_is_in_every_match(text):
     normal = f" {text} "
     hit = [r for r in build_rules() if re.search(rf"(?<= )(?:{r.regex})(?= )", normal)]
     assert hit and all(r.keyword in normal and (r.stem or r.keyword) in normal for r in hit)
+
+
+def alternatives(parsed):
+    """Strings that an expression matches: every branch, every optional part with and without."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            here = [chr(arg)]
+        elif kind == "BRANCH":
+            here = [s for branch in arg[1] for s in alternatives(branch)]
+        elif kind == "SUBPATTERN":
+            here = alternatives(arg[-1])
+        elif kind == "MAX_REPEAT":
+            low, high, body = arg
+            one = alternatives(body)
+            here = ["".join(t) for n in range(low, min(int(high), max(low, 1)) + 1) for t in product(one if n == 1 else one[:1], repeat=n)]
+        else:
+            assert kind == "IN"
+            here = [chr(a) for o, a in arg if str(o) == "LITERAL"] or ["1"]
+        out = [a + b for a in out for b in here]
+    return out
+
+
+def test_keyword_and_stem_are_in_every_alternative():
+    lost = set()
+    for r in build_rules():
+        for s in alternatives(_parser.parse(r.regex)):
+            assert re.fullmatch(r.regex, s), (r.regex, s)
+            if r.keyword not in f" {s} " or (r.stem or r.keyword) not in f" {s} ":
+                lost.add((r.label, r.keyword, s))
+    assert not lost
+
+
+def test_every_alternative_is_detected(spark):
+    texts = {
+        "Released under the Expat License": "mit",
+        "CreativeML Open RAIL-M license": "openrail",
+        "BigScience OpenRAIL-M": "openrail",
+        "the Responsible AI License": "bigscience",
+        "Unauthorised copying of this file": "proprietary",
+        "Unauthorized copying of this work": "proprietary",
+        "for academic use only": "research-only",
+        "for research and academic purposes only": "research-only",
+    }
+    got = {r.text: (r.labels, r.score) for r in L.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert {t: labels for t, (labels, _) in got.items()} == texts and all(s > 0 for _, s in got.values())
