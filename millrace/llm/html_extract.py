@@ -87,10 +87,51 @@ def is_side(tag: str, attrs: str) -> bool:
     return False
 
 
+def clear_wrappers(items: list[Item], nodes: list[tuple[Node, bool]]) -> None:
+    """Unmark wrappers of the main text: forms, and elements whose names only sound like something else.
+
+    ``nodes``: all nodes, parents first, and whether each is marked itself.  Such a wrapper holds a main element; or all
+    articles, and all h1 or most words (several articles beside an h1 are comments); without these, all h1 and most
+    words, or most words of a page that is all marked.  A part of an article isn't one.
+    """
+    soft = [n for n, own in nodes if own and (n.tag == "form" or n.tag not in ASIDE)]
+    if not soft:
+        return
+    aside: set[int] = set()
+    for n, _ in nodes:
+        if id(n.parent) in aside or (n.tag in ASIDE and n.tag != "form"):
+            aside.add(id(n))
+    before = [0]
+    for x in items:
+        before.append(before[-1] + (0 if id(x.node) in aside else x.words))
+    mains, articles, titles = ([n for n, _ in nodes if n.tag == t and id(n) not in aside] for t in ("main", "article", "h1"))
+    plain = any(x.words and not x.node.side for x in items)
+
+    def holds(a: Node, b: Node) -> bool:
+        return a.start <= b.start and b.stop <= a.stop
+
+    def wraps(n: Node) -> bool:
+        if any(holds(n, m) for m in mains):
+            return True
+        if mains and not any(holds(m, n) for m in mains):
+            return False
+        most = 2 * (before[n.stop] - before[n.start]) > before[-1]
+        titled = bool(titles) and all(holds(n, t) for t in titles)
+        if articles:
+            return all(holds(n, a) for a in articles) and (titled or (most and not (titles and len(articles) > 1)))
+        return most and (titled if titles else not plain)
+
+    cleared = {id(n) for n in soft if wraps(n)}
+    if cleared:
+        for n, own in nodes:
+            n.side = n.parent.side or (own and id(n) not in cleared)
+
+
 def parse(page: str) -> tuple[list[Item], Node]:
     """Items in page order; nodes know the range of items they hold."""
     root = Node("html", None, False)
     node, items, raw, opened = root, [], "", {}
+    nodes: list[tuple[Node, bool]] = []
     for m in _TOKEN.finditer(page):
         name = m[2]
         if raw:
@@ -135,11 +176,14 @@ def parse(page: str) -> tuple[list[Item], Node]:
             items.append(Item(tag, "", 0, node, block))
             continue
         items.append(Item(tag, "", 0, node, block))
-        node = Node(tag, node, node.side or is_side(tag, m[3]), len(items))
+        own = is_side(tag, m[3])
+        node = Node(tag, node, node.side or own, len(items))
+        nodes.append((node, own))
         opened[tag] = opened.get(tag, 0) + 1
     while node is not None:
         node.stop = len(items)
         node = node.parent
+    clear_wrappers(items, nodes)
     return items, root
 
 

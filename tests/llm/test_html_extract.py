@@ -51,6 +51,29 @@ def test_main_text_without_the_rest(page):
     assert H.extract_text(page) == WANT
 
 
+COMMENTS = f"<section id='comments'><article><p>{'I disagree with this one. ' * 40}</p></article><article><p>So do I.</p></article></section>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body>{SIDE}<div class='page with-sidebar'>{ARTICLE}<div class='sidebar'>{'Related story title. ' * 20}</div></div></body>",
+        f"<body><div class='has-comments'>{ARTICLE}</div><div id='comments'>{'I disagree with this one. ' * 40}</div></body>",
+        f"<body><div class='search-results'><main>{ARTICLE}</main></div>{COMMENTS}</body>",
+        f"<body><form action='/'>{SIDE}{ARTICLE}<input><button>Go</button></form></body>",
+        f"<form><div class='no-sidebar'>{SIDE}<div class='text'>{ARTICLE[9:-10]}</div></div></form>",
+    ],
+)
+def test_wrappers_do_not_hide_the_main_text(page):
+    assert H.extract_text(page) == WANT
+
+
+@pytest.mark.parametrize("comments", [COMMENTS, f"<div class='comments'>{'I disagree. ' * 90}</div>", "<div id='respond'><article>I disagree.</article></div>"])
+def test_comments_stay_out(comments):
+    text = "<h1>Title of it</h1><div><p>First part of the text.</p><p>Second part of the text.</p></div>"
+    assert H.extract_text(f"<body>{text}{comments}</body>") == "Title of it\n\nFirst part of the text.\n\nSecond part of the text."
+
+
 def test_inside_an_article_side_parts_go():
     page = "<article><p>First part of it.</p><div class='advert'>An offer.</div><form>Mail <input></form><p>Second part of it.</p><div class='share-buttons'>Share</div></article>"
     assert H.extract_text(page) == "First part of it.\n\nSecond part of it."
