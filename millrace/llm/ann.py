@@ -1,18 +1,20 @@
 """Nearest neighbours by collision counting over single-projection sorted arrays.
 
-*Index.*  Every vector is in exactly one block of about ``BLOCK`` vectors.  A block
-keeps, for each of ``PROJECTIONS`` random directions (orthogonal in groups), its
+*Index.*  Every vector is in exactly one block of about ``BLOCK`` vectors.  A block is
+cut into ranges of vector length, as a few long vectors would press all others together.
+A range keeps, for each of ``PROJECTIONS`` random directions (orthogonal in groups), its
 vectors sorted by their projection.
 
 *Search.*  A query's projection is the centre of a window in each sorted array; a
 vector *collides* as often as it lies in the window.  Virtual rehashing widens all
 windows by the factor ``GROWTH`` from level to level until enough vectors, a
-``VERIFY`` share of the block and ``k`` more, collide in at least ``THRESHOLD`` of the
+``VERIFY`` share of the range and ``k`` more, collide in at least ``THRESHOLD`` of the
 arrays.  All vectors over the threshold, however many, are verified: their inner
-product with the query on the original vectors, in double precision.
+product with the query on the original vectors, in double precision.  Of ranges with few
+vectors, all are verified.
 
 Largest inner product becomes nearest point by one more dimension, which brings the
-vectors of a block to one length.
+vectors of a range to one length.
 
 *Distribution.*  A stated set of queries meets all rows in blocks: packed query blocks
 are sent to the data blocks, one row a block; only the ``k`` best of a query and a
@@ -44,6 +46,10 @@ VERIFY = 0.10
 #: share of the arrays in which a vector must collide
 THRESHOLD = 0.8
 GROWTH = 1.1
+#: the longest vector of a range by the shortest, at most
+SPAN = 1.2
+#: vectors that a range must have to be searched by collisions
+FEW = 512
 
 
 def directions(width: int, m: int, seed: int = 23) -> np.ndarray:
@@ -54,8 +60,37 @@ def directions(width: int, m: int, seed: int = 23) -> np.ndarray:
     return np.concatenate(out, axis=1)[:, :m]
 
 
+def nearest(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.lexsort((ids, -score))[:k]
+    return ids[at], score[at]
+
+
+class Block:
+    """The vectors of one block: an index for each range of lengths, and the vectors of small ranges."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        y = x / np.abs(x).max()  # so that no square overflows
+        norms = np.sqrt((y * y).sum(axis=1))
+        span = np.floor(np.log(norms.max() / norms) / np.log(SPAN))
+        few = np.zeros(len(ids), bool)
+        self.parts = []
+        for s in np.unique(span):
+            rows = span == s
+            if rows.sum() < FEW:
+                few |= rows
+            else:
+                self.parts.append(BlockIndex(ids[rows], x[rows]))
+        self.ids, self.x = ids[few], x[few]
+
+    def search(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best of the block, among those verified."""
+        rows = self.ids != own
+        found = [(self.ids[rows], (self.x[rows] * query).sum(axis=1)), *(p.search(query, k, own) for p in self.parts)]
+        return nearest(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), k)
+
+
 class BlockIndex:
-    """The sorted arrays of one block."""
+    """The sorted arrays of one range of a block."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, m: int = PROJECTIONS):
         self.ids, self.x = ids, x
@@ -84,7 +119,7 @@ class BlockIndex:
         return np.add.reduce(inside, axis=0, dtype=np.uint16)
 
     def search(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best of the block, among those verified."""
+        """ids and scores of the k best of the range, among those verified."""
         n = len(self.ids)
         want = min(n, int(k + 1 + VERIFY * n))
         if want < n:
@@ -111,9 +146,7 @@ class BlockIndex:
             rows = np.arange(n)
         if own is not None:
             rows = rows[self.ids[rows] != own]
-        score = (self.x[rows] * query).sum(axis=1)
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows][best], score[best]
+        return nearest(self.ids[rows], (self.x[rows] * query).sum(axis=1), k)
 
 
 def _packed(df: DataFrame, blocks: int, width: int, name: str, limit: int) -> DataFrame:
@@ -170,7 +203,7 @@ def search(
                 if last != (r["b"], r["b_ids"]):
                     last = (r["b"], r["b_ids"])
                     ids = np.frombuffer(r["b_ids"], np.int64)
-                    index = BlockIndex(ids, np.frombuffer(r["b_x"], np.float32).reshape(len(ids), width).astype(np.float64))
+                    index = Block(ids, np.frombuffer(r["b_x"], np.float32).reshape(len(ids), width).astype(np.float64))
                 q_ids = np.frombuffer(r["q_ids"], np.int64)
                 q_x = np.frombuffer(r["q_x"], np.float32).reshape(len(q_ids), width).astype(np.float64)
                 found = [index.search(x, k, int(q)) for q, x in zip(q_ids, q_x, strict=True)]

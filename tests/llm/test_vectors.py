@@ -112,6 +112,29 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert hit / (20 * len(by)) > 0.95
 
 
+@pytest.mark.parametrize("long", [{7: 3.0}, {7: 10.0}, dict.fromkeys(range(10), 5.0), None])
+def test_long_vectors_do_not_hide_neighbours(long):
+    """Recall of a block in which a few vectors, or (None) lengths of all scales, are longer."""
+    rng = np.random.default_rng(5)
+    n = 4096
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    length = np.ones(n)
+    if long:
+        length[list(long)] = list(long.values())
+    else:
+        length = rng.lognormal(0, 1, n)
+    x = (x * length[:, None]).astype(np.float32).astype(np.float64)
+    block, hit, asked = ann.Block(np.arange(n), x), 0, range(100, n, 80)
+    for q in asked:
+        ids, score = block.search(x[q], 20, q)
+        s = x @ x[q]
+        assert np.allclose(score, s[ids]) and q not in ids
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(ids.tolist()))
+    assert hit / (20 * len(asked)) > 0.95
+
+
 @pytest.mark.parametrize("n", [1, 2, 5])
 def test_few_candidates(spark, n):
     rows = [(20 * i, [1.0, float(i)], 0) for i in range(n)]
