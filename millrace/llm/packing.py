@@ -125,6 +125,6 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
 
 def cluster_of(text) -> F.Column:
     """Duplicate cluster of a text: equal but for case and white space; null for none."""
-    return F.when(F.length(text) > 0, F.xxhash64(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")))
+    return F.when(F.length(text) > 0, F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))))
 
 

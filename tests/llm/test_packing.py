@@ -84,3 +84,11 @@ def test_clusters_ignore_case_and_space(spark):
     df = spark.createDataFrame([("A  b",), ("a b ",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(packing.cluster_of(F.col("t"))).collect()]
     assert got[0] == got[1] is not None and got[2] is None and got[3] is None
+
+
+def test_copies_with_other_white_space_at_the_ends_never_share_a_bin(spark):
+    ends = [("", ""), ("", "\n"), ("\t", ""), ("\r\n ", " \n"), (" ", "\x0b"), ("\n\n", "\f")]
+    df = spark.createDataFrame([(str(i), f"{a}One  text\nof it{b}") for i, (a, b) in enumerate(ends)], "key string, t string")
+    rows = df.select("key", F.lit("s").alias("source"), packing.cluster_of(F.col("t")).alias("cluster"), F.lit(4).cast("long").alias("size"))
+    assert rows.select("cluster").distinct().count() == 1
+    assert len({r.bin_id for r in packing.pack(rows, capacity=100, per_source=len(ends)).collect()}) == len(ends)
