@@ -84,13 +84,65 @@ def test_empty_tables_and_words(spark):
     assert [r[0] for r in df.select(mixing.word_count(F.col("t"))).collect()] == [0, 0, 0, 3, 1]
 
 
+def test_each_source_is_near_its_target(spark):
+    """Large rows are made up for by small ones."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(f"{s}{i}", s, 3000 if i < 5 else rng.randrange(1, 120)) for s in "abcdefgh" for i in range(400)]
+    got = run(spark, rows)
+    taken, goal, size = defaultdict(int), {}, {}
+    for r in got:
+        taken[r.source] += r.copies * r.size
+        goal[r.source], size[r.source] = r.target, r.source_size
+    for s in goal:
+        assert abs(taken[s] - goal[s]) <= mixing.LARGE * size[s] + 1e-6
+
+
+def test_registered_query_is_near_its_targets(spark):
+    from millrace.llm.queries import op1_mixing
+
+    taken, goal, size = defaultdict(int), {}, {}
+    for r in op1_mixing(spark, "/root/testdata/sf0.01").collect():
+        taken[r.source] += r.taken
+        goal[r.source], size[r.source] = r.target, r.source_size
+        assert r.taken <= 2 * r.size
+    assert max(abs(taken[s] - goal[s]) / goal[s] for s in goal) <= 0.01
+
+
+def test_large_rows_keep_their_rate(spark):
+    """A large row is taken as often as its probability says, over many keys."""
+    rows = [(f"{i} {j}", f"s{i}", 50 if j else 900) for i in range(300) for j in range(40)]
+    got = run(spark, rows, share=0.6, weights=(1.0,), cap=2.0)
+    big = [r for r in got if r.size == 900]
+    assert abs(sum(r.copies for r in big) / len(big) - 0.6) < 0.12
+
+
 def test_mixed_rows_repeat_whole_rows(spark):
-    df = spark.createDataFrame([(i % 50, "w " * (i % 50 + 1), "ab"[i % 2], 1) for i in range(100)], "doc_id long, text string, source string, __key int")
-    df = df.drop("__key").withColumn("x", F.lit(1))
+    df = spark.createDataFrame([(i % 50, "w " * (i % 50 + 1), "ab"[i % 2], 1, 2) for i in range(100)], "key long, text string, source string, __key int, row int")
     out = mixing.mixed_rows(df, Scratch(spark, "t"), share=1.0)
     assert out.columns == df.columns
-    words = sum(len(r.text.split()) for r in out.collect())
+    rows = out.collect()
+    words = sum(len(r.text.split()) for r in rows)
     assert abs(words - sum((i % 50 + 1) for i in range(100))) <= 100
+    assert set(rows) <= set(df.collect())
+
+
+def test_mixed_rows_with_nulls_in_other_places(spark):
+    """Rows that hold the same values in other columns are different rows."""
+    rows = [("x", None, "one two"), (None, "x", "one two"), (None, None, "one two"), ("x", "x", "one two")]
+    df = spark.createDataFrame(rows, "lang string, source string, text string")
+    out = [tuple(r) for r in mixing.mixed_rows(df, Scratch(spark, "t"), share=1.0, cap=1.0).collect()]
+    assert sorted(out, key=str) == sorted(rows, key=str)
+
+
+def test_mixed_rows_never_exceed_the_cap(spark):
+    rows = [(None if i % 3 else "x", None if i % 5 else "x", "w " * (i % 7), {"k": i % 2}) for i in range(200)]
+    df = spark.createDataFrame(rows, "lang string, source string, text string, attrs map<string,int>")
+    count = lambda d: {tuple(map(str, r[:-1])): r[-1] for r in d.select("lang", "source", "text", F.col("attrs")["k"].alias("k")).groupBy("lang", "source", "text", "k").count().collect()}
+    before, after = count(df), count(mixing.mixed_rows(df, Scratch(spark, "t")))
+    assert after and all(n <= 2 * before[k] for k, n in after.items())
+    assert mixing.mixed_rows(df.limit(0), Scratch(spark, "t")).collect() == []
 
 
 def test_no_python_in_the_plan(spark):
