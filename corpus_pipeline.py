@@ -14,32 +14,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import langid, mixing, packing, text_dedup
-from millrace.llm.common import Scratch, read_table
+from millrace.llm.common import Scratch, read_table, unused_prefix
 
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Set ``lang`` to the predicted language; documents that are ``und``, or ambiguous without any language near a half, go."""
+    """Set ``lang`` to the predicted language; documents that are ``und``, or ambiguous without any language near a half, go.
+
+    Null, empty and letterless texts are ``und``; repeated rows are judged alike; other columns are kept.
+    """
     learn = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     model = langid.fit(learn, "doc_id", "text", "lang")
-    found = langid.add_language(docs, model, prefix="__")
-    rejected = (F.col("__lang_pred") == "und") | (F.col("__ambiguous") & (F.col("__score") < 0.5))
-    return found.filter(~rejected).withColumn("lang", F.col("__lang_pred")).select(*docs.columns)
+    prefix = unused_prefix(docs)
+    found = langid.add_language(docs, model, prefix=prefix)
+    lang, score, ambiguous = (F.col(prefix + n) for n in ("lang_pred", "score", "ambiguous"))
+    kept = found.filter(~((lang == "und") | (ambiguous & (score < 0.5))))
+    return kept.select(*[lang.alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    """One document of each group of near-duplicates stays: the one with the smallest id.
+
+    Null and empty texts are no copies of each other and stay; of rows alike in id and text the least by all columns stays.
+    """
     return text_dedup.deduplicate(docs, Scratch(spark, "dedup"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: 0, 1 or 2 times."""
+    """Documents as often as the mix takes them: 0, 1 or 2 times.
+
+    Null and empty texts have no words and are taken 0 times; a null source is a source; ties go by a hash of the row.
+    """
     return mixing.mixed_rows(docs, Scratch(spark, "mix"))
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces in bins of 2,048 words; copies never share a bin."""
+    """Every document's pieces in bins of 2,048 words; copies never share a bin.
+
+    Texts without words have one piece without a bin; ties in size go by id, then piece.
+    """
     rows = docs.select(
         F.col("doc_id").cast("string").alias("key"), F.col("source").cast("string").alias("source"), packing.cluster_of(F.col("text")).alias("cluster"), mixing.word_count(F.col("text")).alias("size")
     )

@@ -3,8 +3,9 @@
 *Schema fingerprinting.*  Every record has the set of nested field paths that it
 fills (``messages[].role``, ``prompt`` ...).  The sorted set is hashed; the hash
 selects a declarative :class:`Mapping` that says which fields become which
-turns.  Records whose fingerprint no mapping knows keep null turns and are
-reported, never guessed at.
+turns.  A record may be a whole conversation (a list of messages, a prompt and its answer ...) or one
+turn of it; :func:`gather_turns` puts the turns of one conversation together.  Records whose fingerprint
+no mapping knows keep null turns and are reported, never guessed at.
 
 *Template.*  ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn.  Control strings
 inside roles and texts are escaped reversibly (``&`` and ``<|``, and line ends in
@@ -13,22 +14,25 @@ roles), so that the formatted string can be read back exactly.
 Everything is built from DataFrame functions; no Python runs on the executors.
 
 Defined results: null text or role is empty; turns of a conversation are ordered
-by turn, ties by role and then text, null turns first; repeated rows are
+by turn, then place in their record, ties by role and then text, null turns first; repeated rows are
 repeated turns; a conversation without rows does not exist; an empty table gives
-no rows; other columns of the input are ignored by :func:`gather_turns` and kept
-by :func:`canonicalise`.  One conversation is one output value and is gathered
-whole.
+no rows; :func:`canonicalise` keeps other columns and replaces those named ``layout`` and
+``canonical_turns``.  One conversation is one output value and is gathered
+whole, as its digests are of the whole string: a conversation must fit a task.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = "array<struct<role:string,text:string>>"
 
@@ -57,14 +61,15 @@ class Part:
 
     ``text`` names a field.  ``each`` names an array of structs whose members
     ``role`` and ``text`` are named relative to it.  ``role`` is otherwise a
-    constant.  ``join`` appends a second field to the text after a blank line
+    constant, or in ``role_of`` a field.  ``join`` appends a second field to the text after a blank line
     (instruction + input).
     """
 
-    text: str
+    text: str | None
     role: str = "user"
     each: str | None = None
     join: str | None = None
+    role_of: str | None = None
 
 
 @dataclass(frozen=True)
@@ -94,18 +99,33 @@ DEFAULT_MAPPINGS = (
 )
 
 
+#: records that are one turn each; what a row leaves null it doesn't fill
+TURN_MAPPINGS = (
+    Mapping("turn", ("role", "text"), (Part("text", role_of="role"),)),
+    Mapping("turn_without_text", ("role",), (Part(None, role_of="role"),)),
+    Mapping("turn_without_role", ("text",), (Part("text", role=""),)),
+    Mapping("empty_turn", (), (Part(None, role=""),)),
+)
+
+
+def _leaves(kind: T.DataType, path: str) -> list[tuple[str, Callable[[Column], Column]]]:
+    """(path, whether a value fills it) for each nested leaf field, through structs and arrays of them."""
+    def member(name: str, ok: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda v: ok(v.getField(name))
+
+    def any_of(ok: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda v: F.coalesce(F.exists(v, ok), F.lit(False))
+
+    if isinstance(kind, T.StructType):
+        return [(p, member(f.name, ok)) for f in kind for p, ok in _leaves(f.dataType, f"{path}.{f.name}" if path else f.name)]
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType | T.ArrayType):
+        return [(p, any_of(ok)) for p, ok in _leaves(kind.elementType, f"{path}[]")]
+    return [(path, lambda v: v.isNotNull())]
+
+
 def _filled(kind: T.DataType, value: Column, path: str) -> list[tuple[str, Column]]:
     """(path, is it filled in this row) for each nested leaf field."""
-    if isinstance(kind, T.StructType):
-        return [x for f in kind for x in _filled(f.dataType, value.getField(f.name), f"{path}.{f.name}" if path else f.name)]
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        out = []
-        for f in kind.elementType:
-            member = value.getField(f.name)  # of an array of structs: the array of that member
-            for sub, _ in _filled(f.dataType, F.lit(None).cast(f.dataType), f"{path}[].{f.name}"):
-                out.append((sub, F.coalesce(F.exists(member, lambda x: x.isNotNull()), F.lit(False))))
-        return out
-    return [(path, value.isNotNull())]
+    return [(p, ok(value)) for p, ok in _leaves(kind, path)]
 
 
 def field_paths(df: DataFrame, fields: list[str]) -> Column:
@@ -134,11 +154,15 @@ def _turns(parts: tuple[Part, ...], canonical: Column | None) -> Column:
         if p.each:
             made.append(F.transform(F.coalesce(F.col(f"`{p.each}`"), F.array()), _turn_of(p, canonical)))
         else:
-            text = F.coalesce(F.col(f"`{p.text}`").cast("string"), F.lit(""))
+            text = F.coalesce(F.col(f"`{p.text}`").cast("string"), F.lit("")) if p.text else F.lit("")
             if p.join:
                 more = F.coalesce(F.col(f"`{p.join}`").cast("string"), F.lit(""))
                 text = F.when(more == "", text).otherwise(F.concat(text, F.lit("\n\n"), more))
-            made.append(F.array(F.struct(F.lit(p.role).alias("role"), text.alias("text"))))
+            role = F.lit(p.role)
+            if p.role_of:
+                named = F.coalesce(F.col(f"`{p.role_of}`"), F.lit(""))
+                role = named if canonical is None else F.coalesce(F.element_at(canonical, F.lower(named)), named)
+            made.append(F.array(F.struct(role.alias("role"), text.alias("text"))))
     return F.concat(*made).cast(TURN)
 
 
@@ -146,26 +170,25 @@ def canonicalise(df: DataFrame, fields: list[str], mappings: tuple[Mapping, ...]
     """Add ``layout`` and ``canonical_turns``; both null where no mapping fits."""
     have = {p for name in fields for p, _ in _filled(df.schema[name].dataType, F.col(f"`{name}`"), name)}
     canonical = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv]) if roles else None
+    held = unused(df, "fingerprint")
     print_ = fingerprint(field_paths(df, fields))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
     for m in mappings:
         if not set(m.paths) <= have:
             continue
-        hit = F.col("__fingerprint") == hashlib.sha256(m.key.encode()).hexdigest()
+        hit = F.col(held) == hashlib.sha256(m.key.encode()).hexdigest()
         layout = F.when(hit, m.name).otherwise(layout)
         turns = F.when(hit, _turns(m.parts, canonical)).otherwise(turns)
-    out = df.withColumn("__fingerprint", print_)
-    return out.withColumns({"layout": layout, "canonical_turns": turns}).drop("__fingerprint")
+    out = df.withColumn(held, print_)
+    return out.withColumns({"layout": layout, "canonical_turns": turns}).drop(held)
 
 
 # -- rows by turn -----------------------------------------------------------
-def gather_turns(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row a conversation: key and ``turns`` in order."""
-    row = F.struct(
-        F.col(f"`{turn}`").alias("n"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
-    )
-    gathered = df.groupBy(F.col(f"`{key}`").alias(key)).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    return gathered.select(key, F.transform("rows", lambda x: F.struct(x.role.alias("role"), x.text.alias("text"))).alias("turns"))
+def gather_turns(records: DataFrame, key: str = "conv_id", turn: str = "turn", turns: str = "canonical_turns") -> DataFrame:
+    """One row a conversation: key and ``turns`` in order, from records with one or more turns."""
+    one = records.select(F.col(f"`{key}`").alias("k"), F.col(f"`{turn}`").alias("n"), F.posexplode(f"`{turns}`").alias("at", "t"))
+    gathered = one.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "at", "t.role", "t.text"))).alias("rows"))
+    return gathered.select(F.col("k").alias(key), F.transform("rows", lambda x: F.struct(x.role.alias("role"), x.text.alias("text"))).alias("turns"))
 
 
 # -- template ---------------------------------------------------------------

@@ -18,11 +18,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests on one machine) is a
-    temporary folder made for it.
+    Where the session names none, a temporary folder is made for it, but only with a local
+    master (unit tests on one machine): executors elsewhere couldn't read it.
     """
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -99,6 +101,14 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def unused_prefix(df: DataFrame) -> str:
+    """A prefix that no column name of ``df`` begins with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def uniform(*cols) -> F.Column:
     """A number in [0, 1) that depends on ``cols`` only."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))

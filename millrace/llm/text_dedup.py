@@ -29,7 +29,8 @@ is a link.
 Defined results: null and empty texts (no word) are alone and kept; the class of a
 text is the smallest id in its component, null ids last; repeated rows are in the
 class of their text, and of several rows with the class's id and text one is kept
-by :func:`deduplicate`; other columns are kept.
+by :func:`deduplicate`, always the same; other columns are kept, whatever their names.  Ties between
+leaders of a bucket go to the smaller node; a long text is hashed whole, alone.
 """
 
 from __future__ import annotations
@@ -386,14 +387,18 @@ def classes(
 
 
 def deduplicate(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``df`` that stand for their class, one a class; texts without a word all stay."""
+    """The rows of ``df`` that stand for their class, one a class; texts without a word all stay.
+
+    Of several rows with the id and text that stand, the one with the least digest of all columns is kept.
+    """
     found = classes(df, scratch, id_col, text_col, **how).filter("stands")
-    keep = scratch.cut(found.select(F.col("id").alias("__id"), F.col("key").alias("__key"), ((F.col("rows") > 1) & ~F.col("empty")).alias("__many")))
-    names = [f"`{c}`" for c in df.columns]
-    rows = df.withColumn("__key", text_key(F.col(f"`{text_col}`"))).alias("d").join(keep.alias("k"), (F.col("d.__key") == F.col("k.__key")) & F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k.__id")))
-    rows = rows.select(*[F.col(f"d.{n}") for n in names], F.col("k.__key").alias("__key"), "__many")
-    once = rows.filter(~F.col("__many")).select(*names)
-    if keep.filter("__many").isEmpty():
-        return once
-    many = rows.filter("__many").groupBy("__key").agg(F.first(F.struct(*names)).alias("__r")).select("__r.*")
-    return once.unionByName(many)
+    keep = scratch.cut(found.select("id", "key", ((F.col("rows") > 1) & ~F.col("empty")).alias("many")))
+    # by place, so that columns of one name don't matter
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row")
+    keyed = df.select(F.col(f"`{id_col}`").cast("long").alias("i"), text_key(F.col(f"`{text_col}`")).alias("k"), row)
+    rows = keyed.join(keep, (F.col("k") == F.col("key")) & F.col("i").eqNullSafe(F.col("id"))).select("key", "many", "row")
+    out = rows.filter("not many").select("row")
+    if not keep.filter("many").isEmpty():
+        digest = F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256)
+        out = out.unionByName(rows.filter("many").groupBy("key").agg(F.min_by("row", digest).alias("row")).select("row"))
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)])
