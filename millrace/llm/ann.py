@@ -7,23 +7,26 @@ vectors sorted by their projection.
 
 *Search.*  A query's projection is the centre of a window in each sorted array; a
 vector *collides* as often as it lies in the window.  Virtual rehashing widens all
-windows by the factor ``GROWTH`` from level to level until enough vectors, a
-``VERIFY`` share of the range and ``k`` more, collide in at least ``THRESHOLD`` of the
-arrays.  All vectors over the threshold, however many, are verified: their inner
-product with the query on the original vectors, in double precision.  Of ranges with few
-vectors, all are verified.
+windows by the factor ``GROWTH`` from level to level; a level counts only the entries that are new in it.
+It ends when enough vectors, a ``VERIFY`` share of the range and ``k`` more, collide in at least
+``THRESHOLD`` of the arrays.  All vectors over the threshold, however many, are verified: their inner
+product with the query on the original vectors, in double precision.  Ranges are searched from the longest
+vectors on; one whose longest vector can't reach the ``k`` best found so far is not searched.  All of this is
+alike for ranges of every size: in a small one the windows widen until all its vectors collide.
 
 Largest inner product becomes nearest point by one more dimension, which brings the
 vectors of a range to one length.
 
-*Distribution.*  A stated set of queries meets all rows in blocks: packed query blocks
-are sent to the data blocks, one row a block; only the ``k`` best of a query and a
-block leave a task.  They are merged in two steps.
+*Distribution.*  A stated set of queries meets all rows in blocks: a unit of work is a data block and a group
+of queries, keyed by both, so that neither many queries nor many vectors meet in one task; only the ``k`` best of
+a query and a block leave it.  They are merged in two steps.  Each query still meets each block, so the work grows with
+queries times rows.
 
-Null, zero and non-finite vectors and those of another length than most take no
-part, neither as query nor as candidate.  Rows with the query's own id are not
-candidates for it; an id with several vectors is searched once, by the smallest.
-Ties go to the smaller id; with fewer than ``k`` candidates all are returned.
+Vectors of each length are searched among themselves.  Null, empty, zero and non-finite vectors and rows
+with a null id take no part, neither as query nor as candidate.  Rows with the query's own id are not
+candidates for it; an id with several vectors is searched once, by the smallest; repeated rows are candidates each.
+Ties go to the smaller id; with fewer than ``k`` candidates all are returned; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,20 +39,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .embedding_dedup import matrix, usable
+from .embedding_dedup import packed, same_type, unpacked, usable
 
 BLOCK = 8192
-QUERY_BLOCK = 512
-PROJECTIONS = 96
-#: share of a block that is verified for a query, at least
-VERIFY = 0.10
+#: queries of a group, at most and at least
+QUERIES = (16_384, 128)
+#: units of work that smaller searches are cut into, so that all tasks have some
+UNITS = 64
+#: components of all vectors of a block or a group of queries, at most
+BLOCK_VALUES = 1 << 22
+PROJECTIONS = 64
+#: share of a range that is verified for a query, at least
+VERIFY = 0.2
 #: share of the arrays in which a vector must collide
-THRESHOLD = 0.8
-GROWTH = 1.1
+THRESHOLD = 0.6
+GROWTH = 1.2
 #: the longest vector of a range by the shortest, at most
 SPAN = 1.2
-#: vectors that a range must have to be searched by collisions
-FEW = 512
 
 
 def directions(width: int, m: int, seed: int = 23) -> np.ndarray:
@@ -66,152 +72,134 @@ def nearest(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 class Block:
-    """The vectors of one block: an index for each range of lengths, and the vectors of small ranges."""
+    """The vectors of one block: an index for each range of lengths, the longest first."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        y = x / np.abs(x).max()  # so that no square overflows
+        self.scale = np.abs(x).max()
+        y = x / self.scale  # so that no square overflows
         norms = np.sqrt((y * y).sum(axis=1))
         span = np.floor(np.log(norms.max() / norms) / np.log(SPAN))
-        few = np.zeros(len(ids), bool)
-        self.parts = []
-        for s in np.unique(span):
-            rows = span == s
-            if rows.sum() < FEW:
-                few |= rows
-            else:
-                self.parts.append(BlockIndex(ids[rows], x[rows]))
-        self.ids, self.x = ids[few], x[few]
+        self.parts = [BlockIndex(ids[span == s], x[span == s]) for s in np.unique(span)]
+        self.longest = [float(norms[span == s].max()) for s in np.unique(span)]
 
     def search(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best of the block, among those verified."""
-        rows = self.ids != own
-        found = [(self.ids[rows], (self.x[rows] * query).sum(axis=1)), *(p.search(query, k, own) for p in self.parts)]
-        return nearest(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), k)
+        ids, score = np.empty(0, np.int64), np.empty(0)
+        with np.errstate(over="ignore"):
+            length = np.sqrt(((query / np.abs(query).max()) ** 2).sum()) * np.abs(query).max() * self.scale * (1 + 1e-9)
+            for part, longest in zip(self.parts, self.longest, strict=True):
+                if len(ids) == k and longest * length < score[-1]:
+                    continue
+                more = part.search(query, k, own)
+                ids, score = nearest(np.concatenate([ids, more[0]]), np.concatenate([score, more[1]]), k)
+        return ids, score
 
 
 class BlockIndex:
     """The sorted arrays of one range of a block."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, m: int = PROJECTIONS):
-        self.ids, self.x = ids, x
+        self.ids, self.x, self.m = ids, x, m
         n, width = x.shape
-        self.unit = np.abs(x).max()  # so that no square overflows
-        y = x / self.unit
+        y = x / np.abs(x).max()  # so that no square overflows
         norms = np.sqrt((y * y).sum(axis=1))
-        self.longest = norms.max()
-        y = y / self.longest
-        rest = np.sqrt(np.maximum(0.0, 1 - (norms / self.longest) ** 2))
+        y = y / norms.max()
+        rest = np.sqrt(np.maximum(0.0, 1 - (norms / norms.max()) ** 2))
         self.r = directions(width + 1, m)
         p = np.concatenate([y, rest[:, None]], axis=1) @ self.r
         order = np.argsort(p, axis=0, kind="stable")
         self.values = np.ascontiguousarray(np.take_along_axis(p, order, 0).T)
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(n)[:, None], 0)
-        self.rank = np.ascontiguousarray(rank.T.astype(np.uint16 if n < 1 << 16 else np.int32))
-        self.m, self.level = m, 0
+        self.order = np.ascontiguousarray(order.T.astype(np.int32)).reshape(-1)
+        self.first = np.arange(m) * n
+        self.level = 0
 
-    def collisions(self, q: np.ndarray, radius: float) -> np.ndarray:
-        """In how many windows of the radius about q each vector lies."""
+    def bounds(self, q: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """The window of the radius about q in each array."""
         lo = np.array([v.searchsorted(c - radius, "left") for v, c in zip(self.values, q, strict=True)])
-        hi = np.array([v.searchsorted(c + radius, "right") for v, c in zip(self.values, q, strict=True)])
-        kind = self.rank.dtype
-        inside = (self.rank - lo.astype(kind)[:, None]).view(np.uint16 if kind == np.uint16 else np.uint32) < (hi - lo).astype(np.uint16 if kind == np.uint16 else np.uint32)[:, None]
-        return np.add.reduce(inside, axis=0, dtype=np.uint16)
+        return lo, np.array([v.searchsorted(c + radius, "right") for v, c in zip(self.values, q, strict=True)])
+
+    def entries(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """How often each vector is in stretches of the sorted arrays."""
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+        return np.bincount(self.order[at], minlength=len(self.ids))
+
+    def colliding(self, q: np.ndarray, want: int) -> np.ndarray:
+        """Vectors over the threshold, at the first level with ``want`` of them."""
+        need = int(np.ceil(THRESHOLD * self.m))
+        level = self.level  # levels are alike from query to query: begin near the last one's
+        while True:
+            lo, hi = self.bounds(q, 0.05 * GROWTH**level)
+            count = self.entries(self.first + lo, hi - lo)
+            if level == 0 or (count >= need).sum() < want:
+                break
+            level = max(0, level - 3)
+        while (count >= need).sum() < want:
+            level += 1
+            left, right = self.bounds(q, 0.05 * GROWTH**level)
+            count += self.entries(np.concatenate([self.first + left, self.first + hi]), np.concatenate([lo - left, right - hi]))
+            lo, hi = left, right
+        self.level = max(0, level - 1)
+        return np.flatnonzero(count >= need)
 
     def search(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best of the range, among those verified."""
         n = len(self.ids)
-        want = min(n, int(k + 1 + VERIFY * n))
-        if want < n:
-            with np.errstate(over="ignore", invalid="ignore"):
-                c = query / np.abs(query).max()
-            c = np.append(c / np.sqrt((c * c).sum()), 0.0) @ self.r
-            need = int(np.ceil(THRESHOLD * self.m))
-            over = lambda level: self.collisions(c, 0.1 * GROWTH**level) >= need
-            # levels are alike from query to query: begin at the last one's
-            level, hit = self.level, over(self.level)
-            if hit.sum() < want:
-                while hit.sum() < want:
-                    level += 1
-                    hit = over(level)
-            else:
-                while level > 0:
-                    less = over(level - 1)
-                    if less.sum() < want:
-                        break
-                    level, hit = level - 1, less
-            self.level = level
-            rows = np.flatnonzero(hit)
-        else:
-            rows = np.arange(n)
+        with np.errstate(over="ignore", invalid="ignore"):
+            c = query / np.abs(query).max()
+        c = np.append(c / np.sqrt((c * c).sum()), 0.0) @ self.r
+        rows = self.colliding(c, min(n, int(k + 1 + VERIFY * n)))
         if own is not None:
             rows = rows[self.ids[rows] != own]
         return nearest(self.ids[rows], (self.x[rows] * query).sum(axis=1), k)
 
 
-def _packed(df: DataFrame, blocks: int, width: int, name: str, limit: int) -> DataFrame:
-    """One row a block: (name, ids, vectors), both as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        ids: list[np.ndarray] = []
-        rows: list[np.ndarray] = []
-        here = TaskContext.get().partitionId()
-
-        def out() -> pa.RecordBatch:
-            i, x = np.concatenate(ids), np.concatenate(rows)
-            return pa.RecordBatch.from_arrays([pa.array([here], pa.int64()), pa.array([i.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=[name, f"{name}_ids", f"{name}_x"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, limit):
-                part = batch.slice(at, limit)
-                ids.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-                rows.append(matrix(part.column(1), width).astype(np.float32))
-                if sum(map(len, ids)) >= limit:
-                    yield out()
-                    ids.clear()
-                    rows.clear()
-        if ids:
-            yield out()
-
-    return df.select("id", "vector").repartition(blocks).mapInArrow(run, f"{name} long, {name}_ids binary, {name}_x binary")
-
-
 def search(
     df: DataFrame, is_query: Column, scratch: Scratch, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, block: int = BLOCK
 ) -> DataFrame:
     """(query_id, rank, id, score) of each query's ``k`` best; ``is_query`` is a condition on ``id``."""
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<float>").alias("vector"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), same_type(df, vector_col).alias("vector"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
+    rows = scratch.cut(rows.select(F.col("id").alias("node"), "vector", F.size("vector").alias("w"), F.monotonically_increasing_id().alias("place")))
+    asked = scratch.cut(rows.withColumn("id", F.col("node")).filter(is_query).groupBy("node").agg(F.min("vector").alias("vector")).withColumn("w", F.size("vector")))
+    fits = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_VALUES) / F.col("w")))
+    up = lambda n, size: F.ceil(F.col(n) / size).cast("long")
+    sizes = rows.groupBy("w").agg(F.count("*").alias("n")).join(asked.groupBy("w").agg(F.count("*").alias("q")), "w")
+    sizes = sizes.withColumn("blocks", up("n", F.least(F.lit(block), fits)))
+    # groups of queries: large, as every block is sent to each, but enough of them
+    group = F.greatest(F.lit(QUERIES[1]), F.least(F.lit(QUERIES[0]), F.ceil(F.col("q") * F.col("blocks") / F.lit(float(UNITS)))))
+    sizes = scratch.cut(sizes.withColumn("groups", up("q", F.least(group, fits))).select("w", "blocks", "groups"))
+    units = sizes.agg(F.sum(F.col("blocks") * F.col("groups")), F.max("blocks")).first()
     kind = "query_id long, rank int, id long, score double"
-    widths = rows.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).orderBy(F.desc("n"), "w").limit(1).collect()
-    if not widths or not widths[0]["q"]:
+    if not units[0]:
         return df.sparkSession.createDataFrame([], kind)
-    width, n, n_queries = widths[0]["w"], widths[0]["n"], widths[0]["q"]
-    rows = rows.filter(F.size("vector") == width)
-    blocks, query_blocks = -(-n // block), -(-n_queries // QUERY_BLOCK)
-    data = scratch.cut(_packed(rows, blocks, width, "b", block))
-    queries = scratch.cut(_packed(rows.filter(is_query).groupBy("id").agg(F.min("vector").alias("vector")), query_blocks, width, "q", QUERY_BLOCK))
-    sent = queries.select(F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("b"), "q_ids", "q_x")
-    met = sent.join(data, "b").select("b", "q_ids", "q_x", "b_ids", "b_x")
+    data = rows.join(sizes, "w").withColumn("block", F.pmod(F.xxhash64("place"), F.col("blocks")))
+    data = scratch.cut(packed(data)).join(sizes, "w").withColumn("group", F.explode(F.expr("sequence(0L, groups - 1)")))
+    queries = asked.join(sizes, "w").withColumn("block", F.pmod(F.xxhash64("node"), F.col("groups")))
+    queries = scratch.cut(packed(queries)).withColumnRenamed("block", "group").join(sizes, "w").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    # a fixed number of partitions, as a few small rows are much work
+    parts = int(min(units[0], 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    key = ["w", "block", "group"]
+    data = data.select(*key, "node", "xs").repartition(parts, *key)
+    queries = queries.select(*key, F.col("node").alias("q_node"), F.col("xs").alias("q_xs")).repartition(parts, *key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, index = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                if last != (r["b"], r["b_ids"]):
-                    last = (r["b"], r["b_ids"])
-                    ids = np.frombuffer(r["b_ids"], np.int64)
-                    index = Block(ids, np.frombuffer(r["b_x"], np.float32).reshape(len(ids), width).astype(np.float64))
-                q_ids = np.frombuffer(r["q_ids"], np.int64)
-                q_x = np.frombuffer(r["q_x"], np.float32).reshape(len(q_ids), width).astype(np.float64)
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                if last != (r["w"], r["block"]):
+                    last = (r["w"], r["block"])
+                    ids = np.frombuffer(r["node"], np.int64)
+                    index = Block(ids, unpacked(r["xs"], len(ids), r["w"]))
+                q_ids = np.frombuffer(r["q_node"], np.int64)
+                q_x = unpacked(r["q_xs"], len(q_ids), r["w"])
                 found = [index.search(x, k, int(q)) for q, x in zip(q_ids, q_x, strict=True)]
-                hits = pa.array([[{"score": float(s), "id": int(i)} for i, s in zip(*f, strict=True)] for f in found], pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(np.full(len(q_ids), r["b"])), hits], names=["query_id", "b", "hits"])
+                flat = pa.StructArray.from_arrays([pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[0] for f in found]))], names=["score", "id"])
+                ends = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(np.full(len(q_ids), r["block"])), pa.ListArray.from_arrays(ends, flat)], names=["query_id", "b", "hits"])
 
-    near = met.mapInArrow(run, "query_id long, b long, hits array<struct<score:double,id:long>>")
+    near = data.join(queries, key).select(*key, "node", "xs", "q_node", "q_xs").mapInArrow(run, "query_id long, b long, hits array<struct<score:double,id:long>>")
     first = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c)), lambda x, y: F.when(x.score > y.score, -1).when(x.score < y.score, 1).when(x.id < y.id, -1).when(x.id > y.id, 1).otherwise(0)), 1, k)
-    some = near.groupBy("query_id", F.pmod(F.col("b"), F.lit(max(1, round(blocks**0.5)))).alias("part")).agg(first("hits").alias("hits"))
+    some = near.groupBy("query_id", F.pmod(F.col("b"), F.lit(max(1, round(units[1] ** 0.5)))).alias("part")).agg(first("hits").alias("hits"))
     best = some.groupBy("query_id").agg(first("hits").alias("hits"))
     return best.select("query_id", F.posexplode("hits").alias("at", "h")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("h.id").alias("id"), F.col("h.score").alias("score"))
