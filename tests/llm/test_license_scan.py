@@ -5,6 +5,7 @@ from re import _parser
 import pytest
 
 from millrace.llm import license_scan as L
+from millrace.llm import license_rules as R
 from millrace.llm.license_rules import LicenseRule, build_rules
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -81,11 +82,48 @@ def test_priority_and_containment(spark):
 
 def test_rules_are_many_and_gated():
     rules = build_rules()
-    assert len(rules) > 300
+    assert len(rules) > 600 and len(R._sentences()) + len(R._NAMES) > 250
     for r in rules:
         re.compile(r.regex)
 
 
+def test_every_sentence_is_detected(spark):
+    """One text for each hand-written sentence: its label, or that of an earlier rule at the same place, is found."""
+    rules = build_rules()
+    texts = [(i, alternatives(_parser.parse(regex))[0]) for i, (_, _, regex) in enumerate(R._sentences())]
+    got = {r.i: {(d.label) for d in r.detections} for r in L.scan(spark.createDataFrame(texts, "i int, text string")).collect()}
+    for i, t in texts:
+        assert got[i] == {d[4] for d in brute_detections(t, rules)} and got[i], t
+
+
+def test_many_detections_in_one_text(spark):
+    import time
+
+    text = "copyright 2020 all rights reserved " * 20_000  # 700 KB, 40,000 detections
+    df = spark.createDataFrame([(text,)], "text string")
+    start = time.perf_counter()
+    r = L.scan(df).first()
+    assert len(r.detections) == 40_000 and r.detections[-1].stop == 100_000
+    assert time.perf_counter() - start < 60
+
+
+def test_random_spans_resolve_like_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    words = "a b c d e f".split()
+    rules = tuple(LicenseRule(f"l{i}", p.split()[0], p, rng.randrange(1, 4), 0.5) for i, p in enumerate(sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(60)})))
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 40, 900])))) for i in range(30)]
+    for r in L.scan(spark.createDataFrame(texts, "i int, text string"), rules=rules).collect():
+        assert sorted((d.start, d.stop, d.priority, d.rule, d.label) for d in r.detections) == brute_detections(r.text, rules)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("under the MIT license", 1, "x", 0.5)], "text string, normal int, SPANS string, score double")
+    r = L.scan(df).first()
+    assert r.normal == 1 and r.SPANS == "x" and r.score == 1.0 and r.labels == "mit"
+
+
 def test_keeps_other_columns_and_runs_no_python(spark):
     df = spark.createDataFrame([("x", 7)], "text string, labels int")
     out = L.scan(df.withColumnRenamed("labels", "other"))
