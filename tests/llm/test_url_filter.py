@@ -38,3 +38,32 @@ def test_distinct_soft_terms_and_prefix(spark):
     out = U.judge(df, "url", prefix="u_").orderBy(F.length("url"), "url").collect()
     assert {(r.u_soft_hits, r.u_verdict) for r in out} == {(1, "allow"), (2, "block")}
     assert U.judge(df.limit(0), "url").collect() == []
+
+
+def test_a_table_of_rules_is_joined(spark):
+    """The same verdicts from a constant, from many rules and from a table; ties, repeated rows and clashing names."""
+    df = spark.createDataFrame([(i, u, i, "x") for i, u in enumerate(URLS)] * 2, "page_id int, url string, h int, rules string")
+    table = spark.createDataFrame([(r.host, r.path, r.action) for r in URL_RULES] * 2, "host string, path string, action string")
+    many = URL_RULES + tuple(U.Rule("block", f"h{i}.net", f"/{i}") for i in range(2 * U.INLINE_RULES))
+    want = sorted((i, *brute(u)) for i, u in enumerate(URLS)) * 2
+    for rules in (URL_RULES, many, table):
+        out = U.judge(df, "url", U.UrlPolicy(rules))
+        assert out.columns[:4] == ["page_id", "url", "h", "rules"]
+        got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in out.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert U.judge(df.limit(0), "url", U.UrlPolicy(rules)).collect() == []
+    assert U.judge(df, "url", U.UrlPolicy(table.limit(0))).filter("rule is not null").count() == 0
+
+
+def test_equally_long_rules(spark):
+    df = spark.createDataFrame([("http://a.bc/x",)], "url string")
+    rules = (U.Rule("block", "a.bc", "/"), U.Rule("allow", "a.bc", "/"), U.Rule("block", "bc", "/x"), U.Rule("block", "bc", "/"))
+    assert U.judge(df, "url", U.UrlPolicy(rules)).first()[:3] == ("http://a.bc/x", "a.bc", "/x")
+    r = U.judge(df, "url", U.UrlPolicy(rules)).first()
+    assert (r.rule, r.verdict) == ("a.bc/", "allow")
+
+
+def test_terms_are_data(tmp_path):
+    assert len(U.Vocabulary().strict) > 60 and not set(U.Vocabulary().strict) & set(U.Vocabulary().soft)
+    (tmp_path / "t").write_text("# words\n[strict]\na b\n[soft]\nc\nc d\n")
+    assert U.read_terms(tmp_path / "t") == {"strict": ("a", "b"), "soft": ("c", "d")}
