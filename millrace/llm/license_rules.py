@@ -21,7 +21,7 @@ class LicenseRule:
     regex: str
     priority: int
     confidence: float
-    #: a shorter string that is also in every matching text; one for many rules
+    #: the beginning of a word that is also in every matching text; one for several rules
     stem: str = ""
 
 
@@ -45,7 +45,8 @@ _NAMES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("agpl-3", "affero", r"(?:gnu )?affero general public licen[cs]e (?:version |v )?3(?: 0)?", ("agpl 3 0", "agpl 3 0 only")),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e", ("agpl",)),
     ("gfdl", "documentation", r"(?:gnu )?free documentation licen[cs]e(?: version 1 [123])?", ("gfdl 1 3", "gfdl")),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", ("bsd 2 clause",)),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?", ("bsd 2 clause",)),
+    ("bsd-2-clause", "freebsd", r"freebsd(?: licen[cs]e)?", ()),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?", ("bsd 3 clause",)),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?", ("bsd 4 clause",)),
     ("0bsd", "bsd", r"(?:zero clause bsd|0 clause bsd)(?: licen[cs]e)?", ("0bsd",)),
@@ -288,11 +289,14 @@ trial | trial | trial licen[cs]e
 shareware | shareware | this (?:program|software) is shareware
 freeware | freeware | this (?:program|software) is freeware
 donationware | donation | this software is donation ?ware
-non-commercial | commercial | (?:for )?non ?commercial use only
+non-commercial | noncommercial use | noncommercial use only
+non-commercial | non commercial use | non commercial use only
 non-commercial | commercial | not for commercial use
-non-commercial | commercial | free for (?:personal and )?non ?commercial use
+non-commercial | noncommercial | free for (?:personal and )?noncommercial use
+non-commercial | non commercial | free for (?:personal and )?non commercial use
 non-commercial | commercial | commercial use is (?:strictly )?(?:prohibited|forbidden|not allowed|not permitted)
-non-commercial | commercial | (?:solely|only) for non ?commercial (?:use|purposes|research)
+non-commercial | for noncommercial | (?:solely|only) for noncommercial (?:use|purposes|research)
+non-commercial | for non commercial | (?:solely|only) for non commercial (?:use|purposes|research)
 personal-use | personal use | (?:for )?personal use only
 personal-use | personal use | free for personal use
 research-only | for research | for research(?: and (?:academic|research))? (?:use|purposes) only
@@ -358,28 +362,44 @@ def _cc_rules() -> list[LicenseRule]:
     return out
 
 
-#: strings that few texts hold and that many rules need; each rule is tried only in texts with its stem
-_STEMS = (
-    "licen", "copyright", "software", "gnu ", "general public", "reserved", "public domain", "commons", "redistribut", "permission", "warrant",
-    "commercial", "proprietary", "free of charge", "unauthori", "gutenberg", "openrail", "bsd", "cc0", "cc by", "trademark", "use only", " only", "version ",
-)
 _GROUP = re.compile(r"\((?:\?:)?[^()]*\)(?:\{[^}]*\}|\?)?")
 _LOOSE = re.compile(r"\\w[+*?]?|\[[^\]]*\](?:\{[^}]*\}|[+*?])?|.\?")
+#: words that are too common to find a rule by
+_COMMON = frozenset("what under beer version versions only this that with under have from been they mit the and for use used all not may you your by see only free non just return".split())
 
 
 def required(regex: str) -> list[str]:
-    """Strings that are in every match: what stands outside groups, classes and optional letters."""
+    """Beginnings of words that are in every match: what stands outside groups, classes and optional letters."""
     while (shorter := _GROUP.sub("\0", regex)) != regex:
         regex = shorter
     if "|" in regex:
         return []
-    return [piece for piece in _LOOSE.sub("\0", regex).split("\0") if piece]
+    return re.findall(r"(?:^| )([^ \0]+)", _LOOSE.sub("\0", regex))
 
 
 def stem_of(keyword: str, regex: str) -> str:
-    """The first stem that is in every match, or else the keyword."""
-    pieces = [f" {p}" if k == 0 else p for k, p in enumerate(required(regex))]
-    return next((s for s in _STEMS if s in keyword or any(s in p for p in pieces)), keyword)
+    """The longest beginning of a word that is in every match; of equally long ones the first."""
+    # words of the keyword that begin a word wherever the expression has them
+    named = [w for w in re.findall(r"(?:^ ?| )(\w+)", keyword) if len(re.findall(rf"(?:^|[ (|:]| \)\??){w}", regex)) == regex.count(w)]
+    words = named + required(regex)
+    return max([w for w in words if w not in _COMMON] or words, key=len)
+
+
+def with_stems(rules: list[LicenseRule]) -> tuple[LicenseRule, ...]:
+    """Rules with their stems; no stem begins with another."""
+    stems = [stem_of(r.keyword, r.regex) for r in rules]
+    least = {s: min((t for t in set(stems) if s.startswith(t)), key=len) for s in set(stems)}
+    return tuple(replace(r, stem=least[s]) for r, s in zip(rules, stems, strict=True))
+
+
+def trie(words: list[str]) -> str:
+    """An expression for any of ``words``, none of which begins with another, without trying them one by one."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            by.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(c) + trie(rest) for c, rest in by.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
 
 
 def build_rules() -> tuple[LicenseRule, ...]:
@@ -395,4 +415,4 @@ def build_rules() -> tuple[LicenseRule, ...]:
             out.append(LicenseRule(label, f"identifier {i} ", rf"spdx licen[cs]e identifier {i}", 3, 1.0))
             out.append(LicenseRule(label, f"e {i} ", rf"licen[cs]e {i}", 1, 0.6))
             out.append(LicenseRule(label, f" {i} licen", rf"{i} licen[cs]ed", 1, 0.6))
-    return tuple(replace(r, stem=stem_of(r.keyword, r.regex)) for r in out)
+    return with_stems(out)

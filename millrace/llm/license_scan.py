@@ -3,9 +3,9 @@
 1. A text is brought to *normal text* once: A-Z in lower case, words
    (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``) with one space between, before and after.
 2. Base phrases are counted by splitting the normal text at them.
-3. A *keyword prefilter* finds the rules whose keyword the text holds; few texts
-   hold any.  Only those rules' expressions are tried, each once: its matches are marked in the normal
-   text, and the marked words are counted out.
+3. A *keyword prefilter* finds the rules that a text can match: one expression in the form of a trie finds the
+   stems (beginnings of words) that it holds, and of the rules with these stems those are tried whose keyword it holds.
+   Each is tried once: its matches are marked in the normal text, and the marked words are counted out.
 4. Overlaps are resolved by *priority and interval containment*: a detection
    inside another of the same or higher priority is dropped; of two at one place, the
    earlier rule stands.  One sweep over the detections in order of their start, chunk by chunk, so that
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import unused
-from .license_rules import LicenseRule, build_rules
+from .license_rules import LicenseRule, build_rules, trie, with_stems
 
 #: phrases that are always counted, and their labels
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -119,20 +119,21 @@ def resolve(spans: Column, levels: int = 3) -> Column:
 def scan(df: DataFrame, text_col: str = "text", rules: tuple[LicenseRule, ...] | None = None, base=BASE) -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels, score and ``detections``."""
     rules = rules or build_rules()
-    told = [{"id": i, "label": r.label, "keyword": r.keyword, "regex": _whole(r.regex), "priority": r.priority, "confidence": r.confidence} for i, r in enumerate(rules)]
-    table = F.from_json(F.lit(json.dumps(told)), _RULE)  # a constant, made once
-    # a few stems are tried before the keywords: every text that a rule can match holds its stem
-    stems = sorted({r.stem or r.keyword for r in rules})
-    stems = F.array(*[F.lit(k) for k in stems if not any(o != k and o in k for o in stems)])
+    rules = rules if all(r.stem for r in rules) else with_stems(list(rules))
+    told: dict[str, list[dict]] = {}
+    for i, r in enumerate(rules):
+        told.setdefault(r.stem, []).append({"id": i, "label": r.label, "keyword": r.keyword, "regex": _whole(r.regex), "priority": r.priority, "confidence": r.confidence})
+    table = F.from_json(F.lit(json.dumps(told)), f"map<string,{_RULE}>")  # a constant, made once
+    stems = F.lit(f" ({trie(list(told))})")
     names = {k: unused(df, k) for k in ("normal", "words", "spans", "base", "kept")}
     n, w = F.col(names["normal"]), F.col(names["words"])
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     own = [F.col(f"`{c}`") for c in df.columns if c not in added]
-    gate = F.exists(stems, lambda k: F.contains(n, k))
     step = df.select(*own, normal_text(F.col(f"`{text_col}`")).alias(names["normal"]))
     step = step.withColumn(names["words"], (spaces(n) - 1).cast("long"))
-    tried = F.filter(table, lambda r: F.contains(n, r.keyword))
-    spans = F.when(gate, F.flatten(F.transform(tried, lambda r: _spans_of(n, r)))).otherwise(F.array().cast(_SPAN))
+    held = F.array_distinct(F.regexp_extract_all(n, stems, F.lit(1)))
+    tried = F.filter(F.flatten(F.transform(held, lambda s: F.element_at(table, s))), lambda r: F.contains(n, r.keyword))
+    spans = F.flatten(F.transform(tried, lambda r: _spans_of(n, r)))
     base_ = F.array_compact(F.array(*[_labelled(n, w, p, label) for p, label in base]))
     step = step.select(*own, w, spans.alias(names["spans"]), base_.alias(names["base"]))
     step = step.withColumn(names["kept"], resolve(F.col(names["spans"])))
