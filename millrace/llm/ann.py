@@ -48,12 +48,14 @@ QUERIES = (16_384, 128)
 UNITS = 64
 #: components of all vectors of a block or a group of queries, at most
 BLOCK_VALUES = 1 << 22
-PROJECTIONS = 64
+PROJECTIONS = 48
 #: share of a range that is verified for a query, at least
-VERIFY = 0.2
+VERIFY = 0.3
 #: share of the arrays in which a vector must collide
 THRESHOLD = 0.6
-GROWTH = 1.2
+GROWTH = 1.15
+#: distance of the sorted arrays from each other; projections lie in [-1, 1]
+APART = 4.0
 #: the longest vector of a range by the shortest, at most
 SPAN = 1.2
 
@@ -67,6 +69,10 @@ def directions(width: int, m: int, seed: int = 23) -> np.ndarray:
 
 
 def nearest(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores and their ids, ties to the smaller id."""
+    if len(ids) > 4 * k:
+        some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+        ids, score = ids[some], score[some]
     at = np.lexsort((ids, -score))[:k]
     return ids[at], score[at]
 
@@ -108,19 +114,23 @@ class BlockIndex:
         self.r = directions(width + 1, m)
         p = np.concatenate([y, rest[:, None]], axis=1) @ self.r
         order = np.argsort(p, axis=0, kind="stable")
-        self.values = np.ascontiguousarray(np.take_along_axis(p, order, 0).T)
-        self.order = np.ascontiguousarray(order.T.astype(np.int32)).reshape(-1)
-        self.first = np.arange(m) * n
+        # all arrays end to end, APART from each other, so that one search finds the places in all
+        self.values = (np.take_along_axis(p, order, 0) + APART * np.arange(m)).T.reshape(-1)
+        # narrow numbers, as counting is bound by memory
+        self.order = np.ascontiguousarray(order.T.astype(np.uint16 if n <= 1 << 16 else np.int32)).reshape(-1)
         self.level = 0
+        self.rough = y.astype(np.float32)
 
     def bounds(self, q: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """The window of the radius about q in each array."""
-        lo = np.array([v.searchsorted(c - radius, "left") for v, c in zip(self.values, q, strict=True)])
-        return lo, np.array([v.searchsorted(c + radius, "right") for v, c in zip(self.values, q, strict=True)])
+        """The window of the radius about q in each array, as places in all of them end to end."""
+        edges = np.clip(np.concatenate([q - radius, q + radius]), -APART / 2 + 0.1, APART / 2 - 0.1) + APART * np.tile(np.arange(self.m), 2)
+        return np.split(self.values.searchsorted(edges, "left"), 2)
 
     def entries(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """How often each vector is in stretches of the sorted arrays."""
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+        kind = np.int32 if len(self.order) < 1 << 31 else np.int64
+        at = np.arange(length.sum(), dtype=kind)
+        at += np.repeat((start - np.concatenate([[0], np.cumsum(length)[:-1]])).astype(kind), length)
         return np.bincount(self.order[at], minlength=len(self.ids))
 
     def colliding(self, q: np.ndarray, want: int) -> np.ndarray:
@@ -129,27 +139,30 @@ class BlockIndex:
         level = self.level  # levels are alike from query to query: begin near the last one's
         while True:
             lo, hi = self.bounds(q, 0.05 * GROWTH**level)
-            count = self.entries(self.first + lo, hi - lo)
+            count = self.entries(lo, hi - lo)
             if level == 0 or (count >= need).sum() < want:
                 break
             level = max(0, level - 3)
         while (count >= need).sum() < want:
             level += 1
             left, right = self.bounds(q, 0.05 * GROWTH**level)
-            count += self.entries(np.concatenate([self.first + left, self.first + hi]), np.concatenate([lo - left, right - hi]))
+            count += self.entries(np.concatenate([left, hi]), np.concatenate([lo - left, right - hi]))
             lo, hi = left, right
-        self.level = max(0, level - 1)
+        self.level = max(0, level - 2)
         return np.flatnonzero(count >= need)
 
     def search(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best of the range, among those verified."""
         n = len(self.ids)
-        with np.errstate(over="ignore", invalid="ignore"):
-            c = query / np.abs(query).max()
-        c = np.append(c / np.sqrt((c * c).sum()), 0.0) @ self.r
-        rows = self.colliding(c, min(n, int(k + 1 + VERIFY * n)))
+        c = query / np.abs(query).max()
+        c = c / np.sqrt((c * c).sum())
+        rows = self.colliding(np.append(c, 0.0) @ self.r, min(n, int(k + 1 + VERIFY * n)))
         if own is not None:
             rows = rows[self.ids[rows] != own]
+        if len(rows) > 4 * k:  # first in single precision, with room for its error; both sides have a length of 1 at most
+            rough = self.rough[rows] @ c.astype(np.float32)
+            least = np.partition(rough, len(rough) - k)[len(rough) - k]
+            rows = rows[rough >= least - np.float32(4 * (len(c) + 8) * 2.0**-23)]
         return nearest(self.ids[rows], (self.x[rows] * query).sum(axis=1), k)
 
 
