@@ -1,17 +1,23 @@
 """Writing frames: snapshot tables on Parquet, plain files, quarantine and run log.
 
-A :class:`SnapshotTable` keeps every state in its own folder ``v=N`` and names the
-current one in a pointer file that is written last.  So a merge can read the table that it
-writes, a failed write changes nothing, and old states can be read again.
+A :class:`SnapshotTable` writes data into new folders only and then one small file that lists the
+folders of its new version.  Readers take the highest version whose file is whole.  So a merge can
+read the table that it writes, a write that fails at any point changes nothing, of two writers of
+one version one fails, and old states can be read again.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import col, try_cast
 from ..functions.types import can_widen, is_nested
@@ -43,16 +49,20 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, path: str, text: str) -> None:
-        """Write aside, then rename over."""
+    def create(self, path: str, text: str) -> bool:
+        """A new file; False if there is one already."""
         p, fs = self._at(path)
-        new = self.jvm.org.apache.hadoop.fs.Path(path + ".new")
-        stream = fs.create(new, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(new, p)
+        try:
+            stream = fs.create(p, False)
+        except Exception as e:  # noqa: BLE001 - raised by the file system, of any kind
+            if fs.exists(p):
+                return False
+            raise e
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        return True
 
     def delete(self, path: str) -> None:
         p, fs = self._at(path)
@@ -62,6 +72,10 @@ class Files:
         p, fs = self._at(path)
         return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
 
+    def names(self, path: str) -> list[str]:
+        p, fs = self._at(path)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
     def move(self, source: str, target: str) -> None:
         p, fs = self._at(source)
         t = self.jvm.org.apache.hadoop.fs.Path(target)
@@ -96,10 +110,27 @@ def align(existing: DataFrame, incoming: DataFrame, strict: bool = False) -> tup
     return existing, incoming.select(*[col(c) for c in existing.columns])
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has stored the version that this one was about to."""
+
+
+@dataclass(frozen=True)
+class Part:
+    """Files of one write: a folder, of a partitioned table one of its partition folders."""
+
+    root: str
+    folder: str
+    schema: str
+    #: values of the batch key, if there are few
+    batches: tuple[str | None, ...] | None = None
+
+
 class SnapshotTable:
-    """A table of versioned folders with a pointer to the current one."""
+    """A table as a list of folders, one list a version."""
 
-    POINTER = "_current"
+    LOG, END = "_versions", "end"
+    #: values of a batch key that are written down
+    BATCHES = 1000
 
     def __init__(self, spark: SparkSession, path: str, partition_by: list[str] | None = None, keep: int = 2):
         self.spark, self.path, self.partition_by, self.keep = spark, path.rstrip("/"), partition_by or [], keep
@@ -108,47 +139,134 @@ class SnapshotTable:
             if self.files.exists(f"{self.path}/{other}"):
                 raise RuntimeError(f"{self.path} holds a table of another format")
 
+    # -- versions ----------------------------------------------------------------
+    def _log(self, v: int) -> str:
+        return f"{self.path}/{self.LOG}/{v:012d}"
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n) for n in self.files.names(f"{self.path}/{self.LOG}") if n.isdigit())
+
+    def parts(self, version: int) -> list[Part] | None:
+        """What a version consists of; None if its file is missing or was cut off."""
+        lines = (self.files.read(self._log(version)) or "").split("\n")
+        if lines[-1] != self.END:
+            return None
+        return [Part(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(x).items()}) for x in lines[:-1]]
+
     @property
     def version(self) -> int:
-        text = self.files.read(f"{self.path}/{self.POINTER}")
-        return int(text) if text else 0
+        """The newest whole version; 0 without any."""
+        return next((v for v in reversed(self._numbers()) if self.parts(v) is not None), 0)
+
+    def _commit(self, parts: list[Part], after: int) -> int:
+        v = max([after, *self._numbers()]) + 1
+        if self.version != after:
+            raise ConcurrentWrite(f"{self.path}: version {self.version} is there, but {after} was read")
+        if not self.files.create(self._log(v), "\n".join([*(json.dumps(vars(p)) for p in parts), self.END])):
+            raise ConcurrentWrite(f"{self.path}: version {v} is there already")
+        self._clean(v)
+        return v
 
+    def _clean(self, v: int) -> None:
+        """Versions and folders that no kept version needs go."""
+        numbers = self._numbers()
+        whole = [n for n in numbers if n <= v and self.parts(n) is not None]
+        kept = whole[-self.keep :]
+        needed = {p.root for n in kept for p in self.parts(n) or []}
+        dropped = {p.root for n in whole[: -self.keep] for p in self.parts(n) or []} - needed
+        for root in dropped:
+            self.files.delete(f"{self.path}/{root}")
+        for n in numbers:
+            if n < kept[0]:
+                self.files.delete(self._log(n))
+
+    # -- reading -----------------------------------------------------------------
     def read(self, version: int | None = None) -> DataFrame | None:
-        v = version or self.version
-        return self.spark.read.parquet(f"{self.path}/v={v}") if v else None
+        parts = self.parts(version or self.version)
+        return None if parts is None else self._frame(parts)
+
+    def _frame(self, parts: list[Part]) -> DataFrame | None:
+        """The rows of some parts, later columns and wider types over all of them."""
+        by: dict[tuple[str, str], list[Part]] = {}
+        for p in parts:
+            by.setdefault((p.schema, p.root if p.folder else ""), []).append(p)
+        out: DataFrame | None = None
+        for (schema, root), group in by.items():
+            reader = self.spark.read.schema(T.StructType.fromJson(json.loads(schema)))
+            if root:
+                reader = reader.option("basePath", f"{self.path}/{root}")
+            df = reader.parquet(*[f"{self.path}/{p.root}/{p.folder}".rstrip("/") for p in group])
+            df = df.select(*[col(f["name"]) for f in json.loads(schema)["fields"]])
+            out = df if out is None else (lambda x: x[0].unionByName(x[1]))(align(out, df))
+        return out
+
+    # -- writing -----------------------------------------------------------------
+    def _store(self, df: DataFrame, batch_key: str | None = None) -> list[Part]:
+        """The frame in a new folder that no version knows yet."""
+        root = f"data/{uuid.uuid4().hex}"
+        keys = [p for p in self.partition_by if p in df.columns]
+        writer = df.write.mode("error")
+        (writer.partitionBy(*keys) if keys else writer).parquet(f"{self.path}/{root}")
+        batches = None
+        if batch_key:
+            found = df.select(col(batch_key).cast("string")).distinct().limit(self.BATCHES + 1).collect()
+            batches = tuple(r[0] for r in found) if len(found) <= self.BATCHES else None
+        folders = [""]
+        for _ in keys:
+            folders = [f"{f}/{n}".lstrip("/") for f in folders for n in self.files.folders(f"{self.path}/{root}/{f}".rstrip("/")) if "=" in n]
+        return [Part(root, f, df.schema.json(), batches) for f in folders]
 
     def write(self, df: DataFrame) -> int:
         """The frame as the new state."""
-        v = self.version + 1
-        writer = df.write.mode("overwrite")
-        keys = [p for p in self.partition_by if p in df.columns]
-        if keys:
-            writer = writer.partitionBy(*keys)
-        writer.parquet(f"{self.path}/v={v}")
-        self.files.replace(f"{self.path}/{self.POINTER}", str(v))
-        for name in self.files.folders(self.path):
-            if name.startswith("v=") and int(name[2:]) <= v - self.keep:
-                self.files.delete(f"{self.path}/{name}")
-        return v
+        after = self.version
+        return self._commit(self._store(df), after)
 
     def change(self, step: Callable[[DataFrame | None], DataFrame]) -> int:
-        return self.write(step(self.read()))
+        after = self.version
+        return self._commit(self._store(step(self.read(after) if after else None)), after)
 
     def append(self, df: DataFrame, batch_key: str | None = None) -> int:
-        """Rows added; an earlier copy of the same batch (by its key column) is replaced."""
-
-        def step(old: DataFrame | None) -> DataFrame:
-            if old is None:
-                return df
-            if batch_key:
-                old = old.join(df.select(batch_key).distinct(), batch_key, "left_anti")
-            a, b = align(old, df)
-            return a.unionByName(b)
-
-        return self.change(step)
+        """Rows added as new files; an earlier copy of the same batch (by its key column, null as a value) is replaced.
+
+        Of what is stored only folders that may hold rows of these batches are read and written again.
+        """
+        after = self.version
+        old = self.parts(after) or []
+        if old:
+            align(self._frame(old).limit(0), df.limit(0))  # columns that can't be united are refused
+        new = self._store(df, batch_key)
+        if batch_key and old and new:
+            mine = new[0].batches
+            stale = [p for p in old if mine is None or p.batches is None or set(mine) & set(p.batches)]
+            if stale:
+                kept = self._frame(stale)
+                if batch_key in kept.columns:
+                    batch = df.select(col(batch_key).cast(kept.schema[batch_key].dataType).alias("__batch")).distinct()
+                    kept = kept.join(batch, col(batch_key).eqNullSafe(F.col("__batch")), "left_anti")
+                    old = [p for p in old if p not in stale]
+                    if not kept.isEmpty():
+                        new = [*self._store(kept, batch_key), *new]
+        return self._commit(old + new, after)
+
+    def merge_partitions(self, incoming: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> int:
+        """``merge(rows of the partitions that the batch touches, batch)``, stored in place of these partitions; all others stay as they are."""
+        after = self.version
+        if not self.partition_by:
+            return self.change(lambda old: merge(old, incoming))
+        touched = {tuple(r) for r in incoming.select(*[col(k).cast("string") for k in self.partition_by]).distinct().collect()}  # one a partition
+        old = self.parts(after) or []
+        hit = [p for p in old if not p.folder or self._values(p) in touched]
+        # a part without partition folders may hold any partition, and is merged whole
+        state = self._frame(hit) if hit else None
+        return self._commit([p for p in old if p not in hit] + self._store(merge(state, incoming)), after)
+
+    @staticmethod
+    def _values(part: Part) -> tuple[str | None, ...]:
+        raw = [unquote(f.split("=", 1)[1]) for f in part.folder.split("/")]
+        return tuple(None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in raw)
 
     def compact(self, files: int) -> int:
-        return self.write(self.read().coalesce(files))
+        return self.change(lambda old: old.coalesce(files))
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str], format: str = "parquet") -> None:

@@ -125,3 +125,90 @@ def test_run_all_end_to_end(spark, tmp_path):
     assert counts["good"] == 2 and counts["quarantined"] == 1
     assert sorted((r.id, r.v) for r in table.read().collect()) == [(1, 5.0), (2, 7.0)]
     assert log.read().first().status == "success" and spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+# -- tables as lists of folders ------------------------------------------------
+def rows_of(t, version=None):
+    df = t.read(version)
+    return None if df is None else sorted(tuple(r) for r in df.collect())
+
+
+def test_a_crash_before_the_version_is_listed_changes_nothing(spark, tmp_path, monkeypatch):
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    t.write(spark.createDataFrame([(1, "a")], "id int, v string"))
+
+    def crash(*_):
+        raise OSError("disk gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(t.files, "create", crash)
+        with pytest.raises(OSError):
+            t.write(spark.createDataFrame([(2, "b")], "id int, v string"))
+    assert t.version == 1 and rows_of(t) == [(1, "a")]
+    (tmp_path / "t" / "_versions" / "000000000002").write_text('{"root": "data/x", "fol')  # cut off in the middle
+    assert t.version == 1 and rows_of(t) == [(1, "a")]
+    assert t.append(spark.createDataFrame([(3, "c")], "id int, v string")) == 3
+    assert rows_of(t) == [(1, "a"), (3, "c")]
+
+
+def test_one_of_two_writers_fails(spark, tmp_path):
+    from millrace.sources.sinks import ConcurrentWrite
+
+    one, two = (SnapshotTable(spark, str(tmp_path / "t")) for _ in range(2))
+    one.write(spark.createDataFrame([(1,)], "id int"))
+
+    def late(old):
+        one.append(spark.createDataFrame([(2,)], "id int"))
+        return old.selectExpr("id + 10 AS id")
+
+    with pytest.raises(ConcurrentWrite):
+        two.change(late)
+    assert rows_of(one) == [(1,), (2,)]
+
+
+def test_append_writes_new_files_only(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"), keep=3)
+    for i in range(3):
+        t.append(spark.createDataFrame([(i, f"b{i}")], "id int, b string"), "b")
+    before = {p.root for p in t.parts(t.version)}
+    t.append(spark.createDataFrame([(9, "b1"), (8, None)], "id int, b string"), "b")
+    t.append(spark.createDataFrame([(7, None)], "id int, b string"), "b")
+    after = {p.root for p in t.parts(t.version)}
+    assert len(before & after) == 2  # only the folder of b1 was replaced
+    assert sorted(map(str, rows_of(t))) == ["(0, 'b0')", "(2, 'b2')", "(7, None)", "(9, 'b1')"]
+    assert sorted(map(str, rows_of(t, t.version - 1))) == ["(0, 'b0')", "(2, 'b2')", "(8, None)", "(9, 'b1')"]
+
+
+def test_new_columns_and_wider_types_in_later_files(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    t.append(spark.createDataFrame([(1, "a")], "id int, v string"))
+    t.append(spark.createDataFrame([(2**40, 1.5)], "id bigint, w double"))
+    assert t.read().dtypes == [("id", "bigint"), ("v", "string"), ("w", "double")]
+    assert sorted(rows_of(t), key=str) == sorted([(1, "a", None), (2**40, None, 1.5)], key=str)
+    with pytest.raises(SchemaChangeNeedsMigration):
+        t.append(spark.createDataFrame([("x",)], "id string"))
+    assert t.version == 2
+
+
+def test_only_touched_partitions_are_written(spark, tmp_path):
+    from millrace.operators import merge as M
+
+    t = SnapshotTable(spark, str(tmp_path / "t"), ["p"], keep=2)
+    t.write(spark.createDataFrame([(i, f"p/{i % 3}" if i % 4 else None, "old") for i in range(12)], "id int, p string, v string"))
+    first = {p.folder: p.root for p in t.parts(1)}
+    batch = spark.createDataFrame([(1, "p/1", "new"), (100, None, "new")], "id int, p string, v string")
+    t.merge_partitions(batch, lambda old, new: M.upsert(old.select("id", "p", "v"), new, ["id"]))
+    second = {p.folder: p.root for p in t.parts(2)}
+    assert {f for f in second if second[f] != first.get(f)} == {"p=p%2F1", "p=__HIVE_DEFAULT_PARTITION__"}
+    got = {r.id: (r.p, r.v) for r in t.read().collect()}
+    assert got[1] == ("p/1", "new") and got[100] == (None, "new") and got[5] == ("p/2", "old") and len(got) == 13
+    t.merge_partitions(batch.filter("id = 1"), lambda old, new: old.filter("false"))  # a partition can become empty
+    assert not [p for p in t.parts(3) if p.folder == "p=p%2F1"] and t.read().count() == len([i for i in got if got[i][0] != "p/1"])
+
+
+def test_old_versions_go(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"), keep=2)
+    for i in range(5):
+        t.write(spark.createDataFrame([(i,)], "id int"))
+    assert rows_of(t) == [(4,)] and rows_of(t, 4) == [(3,)] and rows_of(t, 3) is None
+    assert len(t.files.names(str(tmp_path / "t" / "data"))) == 2
