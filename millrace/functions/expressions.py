@@ -115,3 +115,9 @@ def run_sql(df: DataFrame, sql: str, frames: dict[str, DataFrame]) -> DataFrame:
     """A statement over the current frame (``source``) and named frames, without temporary views."""
     text, used = bind(sql, frames)
     return df.sparkSession.sql(text, **used)
+
+
+def small_enough(df: DataFrame, rows: int, size: int) -> bool:
+    """No more than ``rows`` rows and ``size`` bytes (as text), measured no further than the bound of rows."""
+    n = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*[col(c) for c in df.columns])))), F.lit(0)).alias("size")).first()
+    return n["n"] <= rows and n["size"] <= size

@@ -21,6 +21,8 @@ class DatasetRule:
     name: str
     #: aggregate over the frame; None for a rule in SQL text
     agg: Column | None = None
+    #: rows that the aggregate is over; all, if None
+    where: Column | None = None
     sql: str | None = None
     less_than: float | None = None
     greater_than: float | None = None
@@ -70,10 +72,10 @@ def statement(name: str, sql: str, **kw) -> DatasetRule:
     The simple form becomes an aggregate over filtered rows, which can be evaluated per group;
     anything else runs as it is.
     """
-    m = re.fullmatch(r"\s*SELECT\s+(.+?)\s+FROM\s+source\s*;?\s*", sql, re.I | re.S)
-    if m and not re.search(r"\bselect\b|\bover\s*\(", m[1], re.I):
-        return DatasetRule(name, F.expr(m[1]), **kw)
-    return DatasetRule(name, None, sql, **kw)
+    m = re.fullmatch(r"\s*SELECT\s+(.+?)\s+FROM\s+source(?:\s+WHERE\s+(.+?))?\s*;?\s*", sql, re.I | re.S)
+    if m and not re.search(r"\bselect\b|\bover\s*\(", m[0][m[0].lower().index("select") + 6 :], re.I) and not re.search(r"\b(?:group|order|having|limit|union|intersect|except|join)\b", m[2] or "", re.I):
+        return DatasetRule(name, F.expr(m[1]), F.expr(m[2]) if m[2] else None, **kw)
+    return DatasetRule(name, None, sql=sql, **kw)
 
 
 @dataclass(frozen=True)
@@ -89,10 +91,11 @@ def check(df: DataFrame, rules: list[DatasetRule], links: dict[str, DataFrame] |
     Rules named in ``deferred`` (over columns that the write adds) are recorded as neither.
     """
     now = [r for r in rules if r.name not in deferred]
-    built = [r for r in now if r.agg is not None]
     out: dict[str, DatasetResult] = {r.name: DatasetResult(r.name, None, None) for r in rules if r.name in deferred}
-    if built:
-        row = df.agg(F.count("*").alias("n"), *[r.agg.alias(f"v{i}") for i, r in enumerate(built)])
+    for where in dict.fromkeys(str(r.where) for r in now if r.agg is not None):  # one aggregate for all rules over the same rows
+        built = [r for r in now if r.agg is not None and str(r.where) == where]
+        rows = df if built[0].where is None else df.filter(built[0].where)
+        row = rows.agg(F.count("*").alias("n"), *[r.agg.alias(f"v{i}") for i, r in enumerate(built)])
         shown = row.select("n", *[F.struct(F.col(f"v{i}").alias("v"), r.holds(F.col(f"v{i}")).alias("ok")).alias(f"r{i}") for i, r in enumerate(built)]).first()
         for i, r in enumerate(built):
             v, ok = shown[f"r{i}"]["v"], shown[f"r{i}"]["ok"]
@@ -119,11 +122,11 @@ def _no_rows(df: DataFrame, sql: str, links: dict[str, DataFrame] | None) -> boo
 def split_by_scope(df: DataFrame, rule: DatasetRule) -> tuple[DataFrame, DataFrame]:
     """(good, bad): rows of the groups that satisfy a scoped rule, and the others.
 
-    Null is a group like any other.
+    Null is a group like any other; a group without any row that the rule looks at satisfies it.
     """
     keys = list(rule.scope)
     value = F.col("__value")
-    judged = df.groupBy(*[col(k).alias(f"__g_{k}") for k in keys]).agg(rule.agg.alias("__value"))
+    judged = (df if rule.where is None else df.filter(rule.where)).groupBy(*[col(k).alias(f"__g_{k}") for k in keys]).agg(rule.agg.alias("__value"))
     failing = judged.filter(~F.coalesce(rule.holds(value), F.lit(False))).drop("__value")
     same = [col(k).eqNullSafe(col(f"__g_{k}")) for k in keys]
     return df.join(failing, same, "left_anti"), df.join(failing, same, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import all_of, any_of, col, surrogate_key
+from ..functions.expressions import all_of, any_of, col, small_enough, surrogate_key
 
 DELETED, DELETED_AT, REASON, SURROGATE = "_dc_is_deleted", "_dc_deleted_at", "_dc_delete_reason", "_sk"
 
@@ -169,5 +169,5 @@ def merge_partitions(existing: DataFrame, incoming: DataFrame, partition_by: lis
     return merge(inside, incoming), touched
 
 
-def _few(df: DataFrame, limit: int = 10_000) -> bool:
-    return df.limit(limit + 1).count() <= limit
+def _few(df: DataFrame, rows: int = 10_000, size: int = 8 << 20) -> bool:
+    return small_enough(df, rows, size)

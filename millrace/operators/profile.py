@@ -129,8 +129,17 @@ def findings(df: DataFrame, keys: list[str] | None = None, accepted: dict[str, l
     return out
 
 
-#: name parts that suggest personal data
-PII_WORDS = frozenset("email mail phone mobile ssn passport iban birth dob address street postcode zip surname firstname lastname fullname name ip".split())
+# fixed values: words and phrases of column names that tell personal data
+PII_WORDS = frozenset(
+    "email phone mobile telephone cellphone ssn nin passport dob birthdate birthday iban ip ipaddress ipv4 ipv6 postcode zip zipcode postal address street "
+    "surname firstname lastname fullname tin pan".split()
+)
+PII_PHRASES = (
+    "first name", "last name", "full name", "given name", "family name", "middle name", "maiden name", "customer name", "rider name", "driver name",
+    "user name", "contact name", "person name", "date of birth", "birth date", "credit card", "card number", "cc number", "national id", "tax id",
+    "social security", "cell number", "cell phone", "license number", "licence number", "drivers license", "driver license", "drivers licence",
+    "driving licence", "account number", "sort code", "routing number", "e mail",
+)
 
 PII_PATTERNS = {
     "email": r"^[\w.+-]+@[\w-]+\.[\w.]+$",
@@ -142,14 +151,16 @@ PII_PATTERNS = {
 
 
 def pii_by_name(names: list[str]) -> list[str]:
+    """Columns whose names hold a telling word or phrase as whole words; a bare ``name`` counts beside another such column."""
     import re
 
-    out = []
-    for n in names:
-        words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", n)}
-        if words & PII_WORDS:
-            out.append(n)
-    return out
+    def telling(name: str) -> bool:
+        words = [w.lower() for w in re.findall(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+[0-9]*|[A-Z]+[0-9]*|[0-9]+", name)]
+        phrase = f" {' '.join(words)} "
+        return bool(PII_WORDS.intersection(words)) or any(f" {p} " in phrase for p in PII_PHRASES)
+
+    found = {n for n in names if telling(n)}
+    return [n for n in names if n in found or (n.lower() == "name" and found)]
 
 
 def pii_by_value(df: DataFrame, share: float = 0.8) -> DataFrame:

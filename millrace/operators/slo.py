@@ -37,6 +37,20 @@ def interval_of(period: str) -> Column:
     return F.make_interval(F.lit(y), F.lit(mo), F.lit(w), F.lit(d), F.lit(h), F.lit(mi), F.lit(s))
 
 
+def seconds_of(period: str | float) -> float:
+    """Seconds of an ISO-8601 period without months and years, or of ``<n>s|m|h|d``."""
+    if isinstance(period, int | float):
+        return float(period)
+    short = re.fullmatch(r"(\d+(?:\.\d+)?)\s*([smhd])", period)
+    if short:
+        return float(short[1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[short[2]]
+    m = _PERIOD.fullmatch(period)
+    if not m or not any(m.groups()) or m[1] or m[2]:
+        raise ValueError(f"not a period of fixed length: {period!r}")
+    w, d, h, mi, sec = (int(x or 0) for x in m.groups()[2:])
+    return float(((w * 7 + d) * 24 + h) * 3600 + mi * 60 + sec)
+
+
 def retention(df: DataFrame, field: str, period: str, now: Column) -> DataFrame:
     """(oldest, cutoff, expired_rows, passed)."""
     cutoff = now.cast("timestamp") - interval_of(period)
@@ -57,30 +71,39 @@ def quality_gate(good: int, quarantined: int, min_good: float | None = None, max
     return "pass" if ok else "fail"
 
 
+METHODS = ("median", "rolling_average", "seasonal_median")
+
+
 def row_count_anomaly(
     runs: DataFrame, current: int, at: datetime, dataset: str | None = None, environment: str | None = None, method: str = "median", lookback_runs: int = 30,
     lookback_days: int = 56, min_runs: int = 5, drop_ratio: float = 0.5, spike_ratio: float = 2.0, critical_ratio: float = 0.1,
 ) -> DataFrame:
     """(baseline, samples, ratio, verdict) of a run's row count against earlier runs of its environment.
 
-    ``runs``: dataset, environment, timestamp, counts_good.  ``seasonal`` is the median of the same weekday; empty
-    runs never count.
+    ``runs``: dataset, environment, timestamp, counts_good.  Methods: ``median`` and ``rolling_average`` of the last runs;
+    ``seasonal_median`` of the same weekday, or, where that has too few runs, of all runs of the days looked back on.
+    Empty runs never count.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; one of {', '.join(METHODS)}")
     past = runs.filter((F.col("timestamp").cast("timestamp") < F.lit(at).cast("timestamp")) & (F.col("counts_good") > 0))
     if dataset is not None:
         past = past.filter(F.col("dataset") == dataset)
     if environment is not None:
         past = past.filter(F.col("environment").eqNullSafe(F.lit(environment)))
-    if method == "seasonal":
-        past = past.filter((F.dayofweek("timestamp") == F.dayofweek(F.lit(at).cast("timestamp"))) & (F.col("timestamp").cast("timestamp") >= F.lit(at).cast("timestamp") - F.make_interval(days=F.lit(lookback_days))))
-        needed = max(2, min_runs)
+    count = F.col("counts_good").cast("double")
+    if method == "seasonal_median":
+        past = past.filter(F.col("timestamp").cast("timestamp") >= F.lit(at).cast("timestamp") - F.make_interval(days=F.lit(lookback_days)))
+        alike = F.when(F.dayofweek("timestamp") == F.dayofweek(F.lit(at).cast("timestamp")), count)
+        found = past.agg(F.median(alike).alias("own"), F.count(alike).alias("n_own"), F.median(count).alias("every"), F.count("*").alias("n_every"))
+        seasonal = F.col("n_own") >= max(2, min_runs)
+        out = found.select(F.when(seasonal, F.col("own")).otherwise(F.col("every")).alias("baseline"), F.when(seasonal, F.col("n_own")).otherwise(F.col("n_every")).alias("samples"))
     else:
         past = past.orderBy(F.desc("timestamp")).limit(lookback_runs)
-        needed = min_runs
-    base = (F.avg if method == "rolling_average" else F.median)(F.col("counts_good").cast("double"))
-    out = past.agg(base.alias("baseline"), F.count("*").alias("samples")).withColumn("ratio", F.lit(float(current)) / F.col("baseline"))
+        out = past.agg((F.avg if method == "rolling_average" else F.median)(count).alias("baseline"), F.count("*").alias("samples"))
+    out = out.withColumn("ratio", F.lit(float(current)) / F.col("baseline"))
     verdict = (
-        F.when(F.col("samples") < needed, "insufficient_history")
+        F.when(F.col("samples") < min_runs, "insufficient_history")
         .when(F.lit(current == 0) | (F.col("ratio") < critical_ratio), "critical")
         .when(F.col("ratio") < drop_ratio, "drop")
         .when(F.col("ratio") > spike_ratio, "spike")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -24,52 +25,70 @@ class Finding:
     message: str
 
 
+KEYED, ENTITY_LAYERS = ("merge", "scd1", "scd2", "upsert"), ("silver", "gold")
+
+
 def lint(source: str | dict[str, Any]) -> list[Finding]:
-    """Faults of a contract that can be seen without data."""
+    """Faults of a contract that can be seen without data: critical, warning or info."""
     try:
         c = load(source)
     except ContractError as e:
-        return [Finding("PARSE-000", "error", str(e))]
+        return [Finding("PARSE-000", "critical", str(e))]
     except ValueError as e:
-        return [Finding("TRF-001", "error", str(e))]
+        return [Finding("TRF-001", "critical", str(e))]
+    except Exception as e:  # noqa: BLE001 - text that is no YAML
+        return [Finding("PARSE-000", "critical", f"not readable: {e}")]
     out: list[Finding] = []
-    names = {f.name for f in c.fields}
-    m = c.materialization
-    if c.strategy in ("merge", "scd1", "scd2") and not (m.get("primary_key") or c.primary_key):
-        out.append(Finding("KEY-001", "error", f"{c.strategy} needs a primary key"))
-    for k in c.primary_key:
-        if names and k not in names:
-            out.append(Finding("KEY-002", "error", f"primary key {k} is not a field"))
-    for k in m.get("partition_by") or []:
-        if names and k not in names:
-            out.append(Finding("KEY-003", "warning", f"partition column {k} is not a field"))
-    if len(set(c.primary_key)) != len(c.primary_key):
-        out.append(Finding("PK-002", "error", "a primary key column is listed twice"))
-    if m.get("soft_delete") and c.strategy not in ("merge", "scd1"):
-        out.append(Finding("DEL-001", "error", "a soft delete needs a merge"))
-    made = set()
-    for t in c.transformations:
-        name, cfg, phase = step_of(t)
-        if phase == "post" and isinstance(cfg, dict) and isinstance(cfg.get("field"), str):
-            made.add(cfg["field"])
+
+    def found(code: str, severity: str, message: str, when: bool = True) -> None:
+        if when:
+            out.append(Finding(code, severity, message))
+
+    m, key = c.materialization, c.primary_key or c.materialization.get("primary_key")
+    steps = [step_of(t) for t in c.transformations]
+    dedups = [(name, cfg) for name, cfg, _ in steps if name.startswith("deduplicate")]
+    names = lambda x: [x] if isinstance(x, str) else list(x or [])
+    # keys and order
+    unkeyed = not key and not any(names(cfg.get("on") or cfg.get("key_columns")) for _, cfg in dedups)
+    found("PK-002", "critical", f"{c.strategy} or a deduplication needs a key, and none is declared", unkeyed and (c.strategy in KEYED or bool(dedups)))
+    for name, cfg in dedups:
+        order = names(cfg.get("sort_by")) if name == "deduplicate" else names(cfg.get("timestamp_column") or cfg.get("sort_by"))
+        found("KEY-001", "critical", "a deduplication without an order keeps any of its rows", not order)
+        inside = bool(order) and name == "deduplicate" and {o.lower() for o in order} <= {k.lower() for k in names(cfg.get("on"))}
+        found("KEY-002", "critical", "a deduplication ordered by its own key orders nothing", inside)
+    found("KEY-003", "info", "natural_key is not read; the business key is primary_key", bool(c.extra.get("natural_key")))
+    # personal and sensitive fields
+    for n in pii_by_name([f.name for f in c.fields if not f.pii]):
+        found("PII-001", "warning", f"{n} looks personal but is not marked")
+    for f in c.fields:
+        bare = not f.masking and not f.extra.get("security_groups")
+        found("PII-002", "warning", f"{f.name} is personal but has no masking", bool(f.pii) and bare)
+        found("SENS-001", "warning", f"{f.name} is sensitive but has no masking", bool(f.extra.get("sensitive")) and bare)
+    # what is kept of rows that are deleted at the source
+    entity = c.layer in ENTITY_LAYERS and not unkeyed and (c.strategy in KEYED or bool(dedups))
+    deletes = any(m.get(k) for k in ("soft_delete", "soft_delete_column", "cdc_delete_values", "cdc_op_field", "deletion", "snapshot")) or c.source.get("load_mode") == "cdc"
+    found("DEL-001", "warning", "rows that are deleted at the source stay: no delete strategy", entity and not deletes)
+    ruled = bool(c.row_rules or c.dataset_rules) or any(f.required or f.accepted_values or f.min is not None or f.max is not None or f.extra.get("rules") for f in c.fields)
+    found("QLT-001", "warning", "a silver table without any quality rule", c.layer == "silver" and not ruled)
+    tracked = m.get("track_columns") or (m.get("scd2") or {}).get("track_columns")
+    found("SCD-001", "critical", "scd2 without track_columns makes a version at every load", c.strategy == "scd2" and not tracked)
+    # source, service levels, streams
+    found("SRC-001", "warning", "a bronze landing source without partitions is scanned whole at every load", c.layer == "bronze" and c.source.get("type") == "landing" and not c.source.get("partition"))
+    found("VOL-001", "info", "no freshness or row count is promised", c.layer in ENTITY_LAYERS and not (c.slo.get("freshness") or c.slo.get("row_count")))
+    trigger = c.source.get("trigger")
+    resumable = c.source.get("type") == "stream" or trigger in ("continuous", "available_now") or bool(c.source.get("resumable"))
+    found("STREAM-001", "warning", "a batch that is delivered again is appended again", resumable and c.strategy == "append")
+    found("STREAM-002", "info", "a continuous trigger keeps a cluster running", trigger == "continuous")
+    made = {cfg["field"] for _, cfg, phase in steps if phase == "post" and isinstance(cfg, dict) and isinstance(cfg.get("field"), str)}
     for r in c.row_rules:
-        if isinstance(r, dict) and r.get("phase") == "pre" and any(x in str(r.get("sql", "")) for x in made):
-            out.append(Finding("PHS-001", "error", f"a pre rule reads a column made later: {r.get('name')}"))
-    suspect = pii_by_name([f.name for f in c.fields if not f.pii])
-    out += [Finding("PII-001", "warning", f"{n} looks personal but is not marked") for n in suspect]
-    out += [Finding("PII-002", "warning", f"{f.name} is personal but has no masking") for f in c.fields if f.pii and not f.masking]
-    if not c.row_rules and not c.dataset_rules and not any(f.required for f in c.fields):
-        out.append(Finding("QLT-001", "info", "no quality rule"))
-    if c.strategy == "scd2" and not m.get("change_date"):
-        out.append(Finding("SCD-001", "error", "scd2 needs change_date"))
-    if not c.source:
-        out.append(Finding("SRC-001", "info", "no source"))
-    if c.source.get("type") == "stream" and not m.get("checkpoint"):
-        out.append(Finding("STREAM-001", "warning", "a stream needs a checkpoint"))
-    if (c.slo.get("row_count") or {}).get("min_runs", 5) < 2:
-        out.append(Finding("VOL-001", "warning", "a baseline of one run is none"))
-    if not c.owner:
-        out.append(Finding("OWN-001", "info", "no owner"))
+        early = isinstance(r, dict) and r.get("phase") == "pre" and any(re.search(rf"\b{re.escape(x)}\b", str(r)) for x in made)
+        found("PHS-001", "critical", f"a pre rule reads a column that is made later: {r.get('name') if isinstance(r, dict) else r}", early)
+    # people
+    owners = c.extra.get("ownership") or {}
+    for role, who in owners.items():
+        found("OWN-001", "warning", f"{role} is one person without a group", isinstance(who, dict) and bool(who.get("person") or who.get("email")) and not who.get("group"))
+    answers = any(isinstance(w, dict) and "blocking_questions" in (w.get("accountable_for") or []) for w in owners.values())
+    found("OWN-002", "warning", "nobody is accountable for blocking questions", bool(owners) and not answers)
     return out
 
 

@@ -22,8 +22,11 @@ class ContractError(ValueError):
 
 _KEYS = frozenset(
     "name version dataset info domain system layer depends_on source model transformations quality links materialization quarantine schema_policy "
-    "lineage masking slo primary_key stages external_logic description owner".split()
+    "lineage masking slo primary_key stages external_logic description owner metadata service_levels upstream downstream server tier extraction "
+    "context_files natural_key soft_deletes tags templates compliance notifications ownership".split()
 )
+#: top-level parts that a run doesn't read, kept as they are
+_KEPT = ("metadata", "upstream", "downstream", "server", "tier", "extraction", "context_files", "natural_key", "tags", "templates", "compliance", "notifications", "ownership")
 
 
 class _Loader(yaml.SafeLoader):
@@ -68,6 +71,8 @@ class Contract:
     masking: dict[str, Any] = field(default_factory=dict)
     slo: dict[str, Any] = field(default_factory=dict)
     external_logic: Any = None
+    #: parts that a run doesn't read
+    extra: dict[str, Any] = field(default_factory=dict)
 
     @property
     def strategy(self) -> str:
@@ -89,17 +94,24 @@ def load(text: str | dict[str, Any], stage: str | None = None) -> Contract:
         raise ContractError(f"unknown keys: {', '.join(unknown)}")
     info, quality, model, policy = raw.get("info") or {}, raw.get("quality") or {}, raw.get("model") or {}, raw.get("schema_policy") or {}
     fields = [_field(f) for f in model.get("fields") or []]
+    metadata = raw.get("metadata") or {}
+    upstream = raw.get("upstream") or []
+    materialization = dict(raw.get("materialization") or {})
+    if (raw.get("soft_deletes") or {}).get("enabled"):
+        materialization.setdefault("soft_delete", True)
     c = Contract(
         name=raw.get("name") or info.get("title") or raw.get("dataset") or "contract",
         version=str(raw.get("version") or info.get("version") or "") or None,
-        dataset=raw.get("dataset"), domain=raw.get("domain"), system=raw.get("system"), layer=raw.get("layer"), owner=raw.get("owner"),
-        depends_on=list(raw.get("depends_on") or []), source=raw.get("source") or {}, fields=fields,
+        dataset=raw.get("dataset"), domain=raw.get("domain") or metadata.get("domain"), system=raw.get("system") or metadata.get("system"),
+        layer=raw.get("layer") or info.get("target_layer") or metadata.get("layer"), owner=raw.get("owner") or info.get("owner") or metadata.get("owner"),
+        depends_on=list(raw.get("depends_on") or []) + [u for u in (upstream if isinstance(upstream, list) else [upstream]) if isinstance(u, str)], source=raw.get("source") or {}, fields=fields,
         primary_key=list(raw.get("primary_key") or model.get("primary_key") or []),
         transformations=list(raw.get("transformations") or []), row_rules=list(quality.get("row_rules") or []), dataset_rules=list(quality.get("dataset_rules") or []),
-        enforce_required=quality.get("enforce_required", True), links=list(raw.get("links") or []), materialization=raw.get("materialization") or {},
+        enforce_required=quality.get("enforce_required", True), links=list(raw.get("links") or []), materialization=materialization,
         quarantine=raw.get("quarantine") or {},
         policy=Policy(policy.get("evolution", "compatible"), policy.get("unknown_fields", "allow"), bool(policy.get("cast_to_string"))),
-        lineage=raw.get("lineage") or {}, masking=raw.get("masking") or {}, slo=raw.get("slo") or {}, external_logic=raw.get("external_logic"),
+        lineage=raw.get("lineage") or {}, masking=raw.get("masking") or {}, slo=deep_merge(raw.get("slo") or {}, raw.get("service_levels") or {}), external_logic=raw.get("external_logic"),
+        extra={k: raw[k] for k in _KEPT if k in raw},
     )
     for t in c.transformations:
         step_of(t)

@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import run_sql
+from ..functions.expressions import run_sql, small_enough
 from ..operators import dataset_rules as D
 from ..operators import governance as G
 from ..operators import merge as M
@@ -88,9 +88,9 @@ class Processor:
         self.context = T.Context(self.links, small, self.contract.dataset)
 
     @staticmethod
-    def _small(df: DataFrame, rows: int = 1_000_000) -> bool:
-        """Few enough rows to broadcast, counted no further than the bound."""
-        return df.limit(rows + 1).count() <= rows
+    def _small(df: DataFrame, rows: int = 1_000_000, size: int = 64 << 20) -> bool:
+        """Few enough rows and bytes to broadcast, measured no further than the bound."""
+        return small_enough(df, rows, size)
 
     # -- frame in, frames out ------------------------------------------------
     def run(self, df: DataFrame, run_id: str | None = None, source: str = "", at: datetime | None = None, user_groups: set[str] = frozenset()) -> Result:
@@ -147,7 +147,9 @@ class Processor:
             raise DatasetRuleFailed(f"{c.name}: {', '.join(r.name for r in failed)}")
         for rule in failed:
             tag = {R.ERRORS: F.array(F.lit(f"Dataset rule failed: {rule.name}")), R.CATEGORIES: F.array(F.lit("dataset")), R.STATE: F.lit("active"), R.REPROCESSED: F.lit(False)}
-            if rule.scope and rule.agg is not None:
+            if rule.scope:
+                if rule.agg is None:
+                    raise ContractError(f"{rule.name}: a scoped rule must be one aggregate of the source")
                 good, out = D.split_by_scope(good, rule)
             else:
                 good, out = good.limit(0), good
@@ -200,8 +202,65 @@ class Processor:
             return table.append(good, m.get("batch_key"))
         if c.strategy == "overwrite":
             return table.write(good)
+        # rows of a key stay in their partition where the key holds it: then only touched partitions are merged
+        scoped = table.partition_by and (set(table.partition_by) <= set(keys) or m.get("partition_scoped"))
+        if scoped and c.strategy in ("merge", "scd1") and not m.get("snapshot") and not m.get("unknown_member"):
+            return table.merge_partitions(good, lambda old, _: step(old))
         return table.change(step)
 
+    def reprocess(self, good: DataFrame, table: sinks.SnapshotTable) -> int:
+        """Rows of a reprocessed range into their table, by the contract's ``reprocess_policy``.
+
+        ``overwrite_partition`` replaces the partitions that the rows are in, ``overwrite_partition_safe`` too but
+        never by fewer rows than are there, ``overwrite_all`` the whole table; ``append`` adds; ``merge`` goes by
+        the primary key; ``fail`` refuses.
+        """
+        m = self.contract.materialization
+        policy = m.get("reprocess_policy", "overwrite_partition")
+        match policy:
+            case "fail":
+                raise ContractError(f"{self.contract.name}: reprocessing is not allowed")
+            case "append":
+                return table.append(good)
+            case "overwrite_all":
+                return table.write(good)
+            case "merge":
+                keys = list(m.get("primary_key") or self.contract.primary_key)
+                if not keys:
+                    raise ContractError("merge needs a primary key")
+                return table.change(lambda old: good if old is None else M.upsert(*sinks.align(old, good), keys))
+            case "overwrite_partition" | "overwrite_partition_safe":
+                if not table.partition_by:
+                    raise ContractError(f"{policy} needs a partitioned table")
+
+                def put(old: DataFrame | None, new: DataFrame) -> DataFrame:
+                    if policy.endswith("_safe") and old is not None and new.count() < old.count():
+                        raise ContractError(f"{self.contract.name}: fewer rows than the partitions hold")
+                    return new
+
+                return table.merge_partitions(good, put)
+        raise ContractError(f"unknown reprocess policy: {policy}")
+
+    def service_levels(self, table: sinks.SnapshotTable, counts: dict[str, int], log: sinks.RunLog | None = None, now: datetime | None = None) -> dict[str, bool | None]:
+        """What the contract promises of its data, each kept, broken or (None) not to be told."""
+        s, at, out = self.contract.slo, now or datetime.now(), {}
+        df = table.read()
+        seconds = lambda c: O.seconds_of(c.get("threshold") or c.get("max_age") or "P1D")
+        if (c := s.get("freshness")) and c.get("field") and df is not None:
+            out["freshness"] = O.freshness(df, c["field"], seconds(c), F.lit(at)).first()["passed"]
+        if (c := s.get("availability")) and c.get("field") and df is not None:
+            out["availability"] = O.availability(df, c["field"], float(c.get("threshold", 100))).first()["passed"]
+        if (c := s.get("retention")) and c.get("field") and c.get("period") and df is not None:
+            out["retention"] = O.retention(df, c["field"], c["period"], F.lit(at)).first()["passed"]
+        if c := s.get("row_count"):
+            n = counts["good"]
+            out["row_count"] = n >= c.get("min_rows", 0) and (c.get("max_rows") is None or n <= c["max_rows"])
+            if log is not None and c.get("method"):
+                runs = log.read().filter("status = 'success' AND stage = 'run'")
+                verdict = O.row_count_anomaly(runs, n, at, self.contract.dataset or self.contract.name, method=c["method"], min_runs=int(c.get("min_runs_before_enforcement", 5))).first()["verdict"]
+                out["row_count_anomaly"] = None if verdict == "insufficient_history" else verdict == "normal"
+        return out
+
     def run_all(self, table: sinks.SnapshotTable, quarantine_path: str | None = None, log: sinks.RunLog | None = None, **window: Any) -> dict[str, int]:
         """Read, run, store, quarantine, and write the run down."""
         began, c = time.time(), self.contract
@@ -216,12 +275,16 @@ class Processor:
         result = self.run(df, source=str(c.source.get("path") or c.source.get("table") or ""))
         counts = result.counts()
         gate = O.quality_gate(counts["good"], counts["quarantined"], (c.slo.get("quality") or {}).get("min_good_ratio"), (c.slo.get("quality") or {}).get("max_quarantine_ratio"))
-        self.materialize(result.good, table)
+        reprocessed = any(window.get(k) is not None for k in ("reprocess_from", "reprocess_to", "reprocess_values"))
+        self.reprocess(result.good, table) if reprocessed and self.contract.strategy == "append" and "reprocess_policy" in c.materialization else self.materialize(result.good, table)
+        levels = self.service_levels(table, counts, log)
+        broken = sorted(k for k, ok in levels.items() if ok is False)
         if quarantine_path and counts["quarantined"]:
             sinks.quarantine(result.bad).write.mode("append").option("mergeSchema", True).parquet(quarantine_path)
         if log:
             log.add(
                 run_id=result.run.run_id, dataset=c.dataset or c.name, stage=stage, status="success", timestamp=datetime.now(), duration_s=time.time() - began,
                 counts_source=counts["source"], counts_good=counts["good"], counts_quarantined=counts["quarantined"], counts_dropped=counts["pre_transform_dropped"], quality_gate=gate,
+                message="; ".join(f"service level broken: {k}" for k in broken) or None,
             )
         return counts

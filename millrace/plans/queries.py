@@ -635,7 +635,18 @@ def o_anomaly_median(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT median(n)::DOUBLE AS baseline, count(*) AS samples FROM {_DAILY} WHERE t < TIMESTAMP '2024-01-29' AND dayofweek(t) = 1")
 def o_anomaly_seasonal(spark: SparkSession, sf: str) -> DataFrame:
-    return O.row_count_anomaly(_runs(spark, sf), 10, datetime(2024, 1, 29), "events", "prod", method="seasonal", min_runs=2).select("baseline", "samples")
+    return O.row_count_anomaly(_runs(spark, sf), 10, datetime(2024, 1, 29), "events", "prod", method="seasonal_median", min_runs=2).select("baseline", "samples")
+
+
+@query(f"SELECT median(n)::DOUBLE AS baseline, count(*) AS samples FROM {_DAILY} WHERE t < TIMESTAMP '2024-01-29' AND t >= TIMESTAMP '2024-01-29' - INTERVAL 56 DAY")
+def o_anomaly_seasonal_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekdays are too few, so that all days of the window count."""
+    return O.row_count_anomaly(_runs(spark, sf), 10, datetime(2024, 1, 29), "events", "prod", method="seasonal_median", min_runs=10).select("baseline", "samples")
+
+
+@query(f"SELECT avg(n)::DOUBLE AS baseline, count(*) AS samples, CASE WHEN 100000 > 2 * avg(n) THEN 'spike' ELSE 'normal' END AS verdict FROM (SELECT * FROM {_DAILY} WHERE t < TIMESTAMP '2024-01-29' ORDER BY t DESC LIMIT 7)")
+def o_anomaly_average(spark: SparkSession, sf: str) -> DataFrame:
+    return O.row_count_anomaly(_runs(spark, sf), 100_000, datetime(2024, 1, 29), "events", "prod", method="rolling_average", lookback_runs=7).select("baseline", "samples", "verdict")
 
 
 _PROFILE = "SELECT '{0}' AS \"column\", count(*) AS rows, count({0}) AS non_null, count(DISTINCT {0}) AS \"distinct\", min({0})::VARCHAR AS min, max({0})::VARCHAR AS max FROM part"

@@ -21,7 +21,11 @@ from .queries import query, table
 
 def folder(spark: SparkSession) -> str:
     """A new folder where driver and executors can write; it goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir()
     path = f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex[:12]}"
 
     def clean() -> None:

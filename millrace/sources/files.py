@@ -82,7 +82,10 @@ def _orc(spark: SparkSession, c: SourceConfig) -> DataFrame:
 
 @register("csv")
 def _csv(spark: SparkSession, c: SourceConfig) -> DataFrame:
-    """All columns as text; further null values and skipped head rows are dealt with after the read."""
+    """All columns as text; further null values and skipped head rows are dealt with after the read.
+
+    With skipped head rows a record is a line.
+    """
     o = c.options
     reader = spark.read.option("sep", o.get("delimiter", ",")).option("encoding", o.get("encoding", "UTF-8")).option("quote", o.get("quote_char", '"'))
     reader = reader.option("escape", o.get("escape", '"')).option("multiLine", o.get("multiline", False)).option("inferSchema", False)
@@ -95,16 +98,25 @@ def _csv(spark: SparkSession, c: SourceConfig) -> DataFrame:
             reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in c.fields]))
         df = reader.csv(_paths(c))
     else:  # the head of each file is cut by line number, then lines are parsed
-        lines = spark.read.text(_paths(c)).withColumn("__f", F.col("_metadata.file_path")).withColumn("__at", F.col("_metadata.file_block_start"))
+        # lines are numbered within their block of a file, so that no file meets in one task; only first blocks have a head
+        lines = spark.read.text(_paths(c)).select("value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__at"))
         names = [f.name for f in c.fields] or _header(lines, skip, o)
-        numbered = lines.withColumn("__n", F.monotonically_increasing_id())
-        from pyspark.sql import Window
-
-        first = numbered.filter("__at = 0").withColumn("__r", F.row_number().over(Window.partitionBy("__f").orderBy("__n")))
         drop = skip + (1 if o.get("has_header", True) else 0)
-        body = first.filter(F.col("__r") > drop).select("value").unionAll(numbered.filter("__at > 0").select("value"))
+
+        def body(batches):
+            import pyarrow as pa
+
+            last, seen = None, 0
+            for batch in batches:
+                file, start, keep = batch.column(1), batch.column(2), []
+                for k in range(batch.num_rows):
+                    here = (file[k].as_py(), start[k].as_py())
+                    last, seen = (here, 0) if here != last else (last, seen + 1)
+                    keep.append(here[1] > 0 or seen >= drop)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=["value"])
+
         schema = ", ".join(f"`{n}` string" for n in names)
-        parsed = body.select(F.from_csv("value", schema, {"sep": o.get("delimiter", ","), "quote": o.get("quote_char", '"')}).alias("r"))
+        parsed = lines.mapInArrow(body, "value string").select(F.from_csv("value", schema, {"sep": o.get("delimiter", ","), "quote": o.get("quote_char", '"'), "escape": o.get("escape", '"')}).alias("r"))
         df = parsed.select("r.*")
     if nulls:
         df = df.withColumns({n: F.when(~col(n).isin(nulls), col(n)) for n in df.columns})
@@ -245,10 +257,22 @@ for _name in ("delta", "iceberg", "avro"):
 
     READERS[_name] = _package
 
-for _name in ("excel", "mongodb", "sftp", "rest", "dlt", "kinesis", "pubsub"):
+for _name in ("excel", "mongodb", "sftp", "dlt", "kinesis", "pubsub"):
     READERS[_name] = lambda spark, c, name=_name: missing_integration(name)
 
 
+@register("rest")
+def _rest(spark: SparkSession, c: SourceConfig) -> DataFrame:
+    """Pages of a web API; ``options`` are those of a RestSource, and ``landing``, the folder that rows are written to."""
+    from . import rest
+
+    options = dict(c.options)
+    landing = options.pop("landing")
+    options.pop("fetch", None)
+    schema = ", ".join(f"`{f.name}` {(spark_type(f.type) or T.StringType()).simpleString()}" for f in c.fields)
+    return rest.read_rest(spark, rest.RestSource(str(c.path), **options), landing, schema, c.options.get("fetch", rest.fetch_json))
+
+
 def records(spark: SparkSession, rows: list[dict], fields: list[Field]) -> DataFrame:
     """A frame from rows in memory, by the declared types."""
     schema = T.StructType([T.StructField(f.name, spark_type(f.type) or T.StringType()) for f in fields])

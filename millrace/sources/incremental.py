@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import calendar
-import json
 import re
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 from typing import Any
+from urllib.parse import quote, unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import all_of, any_of, col
@@ -101,29 +101,23 @@ def from_lookback(field: str, period: str, now: datetime) -> Boundary:
 
 
 class Manifest:
-    """Processed partitions as a JSON file."""
+    """Processed partitions, one small file for each that was done, on any file system."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, spark: SparkSession, path: str):
+        from .sinks import Files
+
+        self.files, self.path = Files(spark), path.rstrip("/")
 
     def done(self) -> set[str]:
-        try:
-            with open(self.path) as f:
-                return set(json.load(f)["processed"])
-        except FileNotFoundError:
-            return set()
+        return {unquote(n) for n in self.files.names(self.path) if not n.startswith((".", "_"))}
 
     def pending(self, partitions: list[str]) -> list[str]:
         done = self.done()
         return [p for p in partitions if p not in done]
 
     def add(self, partitions: list[str]) -> None:
-        import os
-
-        text = json.dumps({"processed": sorted(self.done() | set(partitions))})
-        with open(self.path + ".new", "w") as f:
-            f.write(text)
-        os.replace(self.path + ".new", self.path)
+        for p in partitions:
+            self.files.create(f"{self.path}/{quote(p, safe='=')}", "")
 
 
 def resolve(config: dict, now: datetime, target: DataFrame | None = None, runs: DataFrame | None = None, **over) -> Boundary | None:

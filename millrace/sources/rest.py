@@ -96,8 +96,8 @@ def read_rest(spark: SparkSession, source: RestSource, folder: str, schema: str,
     for rows in pages(source, fetch):
         held += rows
         if len(held) >= batch:
-            files.replace(f"{folder}/part-{n:05d}.json", "\n".join(map(json.dumps, held)))
+            files.create(f"{folder}/part-{n:05d}.json", "\n".join(map(json.dumps, held)))
             held, n = [], n + 1
     if held or not n:
-        files.replace(f"{folder}/part-{n:05d}.json", "\n".join(map(json.dumps, held)))
+        files.create(f"{folder}/part-{n:05d}.json", "\n".join(map(json.dumps, held)))
     return spark.read.schema(schema).json(folder)

@@ -36,7 +36,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> tuple[Da
     whole = all_of(col(k).isNotNull() for k in keys)
     if READ_ERROR in df.columns:
         whole = whole & col(READ_ERROR).isNull()
-    by = [col(c).desc_nulls_last() for c in order]
+    by = [col(c).desc_nulls_last() for c in order] + [F.xxhash64(*[F.to_json(F.struct(col(c))) for c in df.columns])]  # ties go by the whole row
     n = F.row_number().over(Window.partitionBy(*[col(k) for k in keys]).orderBy(*by))
     keyed = df.filter(whole).withColumn("__n", n)
     last = keyed.filter("__n = 1").drop("__n").unionByName(df.filter(~whole))

@@ -111,7 +111,21 @@ def test_synthetic_rows_satisfy_or_say_why(spark):
 
 def test_lint_codes():
     codes = lambda c: {f.code for f in A.lint(c)}
-    assert "KEY-001" in codes({"name": "x", "materialization": {"strategy": "merge"}})
+    dedup = lambda **c: {"name": "x", "primary_key": ["id"], "transformations": [{"deduplicate": {"on": ["id"], **c}}]}
+    assert "PK-002" in codes({"name": "x", "materialization": {"strategy": "merge"}}) and "PK-002" not in codes(dedup(sort_by=["at"]))
+    assert "KEY-001" in codes(dedup()) and "KEY-001" not in codes(dedup(sort_by=["at"]))
+    assert "KEY-002" in codes(dedup(sort_by=["ID"])) and "KEY-002" not in codes(dedup(sort_by=["id", "at"]))
+    assert "KEY-003" in codes({"name": "x", "natural_key": ["a"]})
+    merge = {"name": "x", "layer": "silver", "primary_key": ["id"], "materialization": {"strategy": "merge"}}
+    assert {"DEL-001", "VOL-001", "QLT-001"} <= codes(merge)
+    kept = merge | {"soft_deletes": {"enabled": True}, "service_levels": {"freshness": {"threshold": "1h", "field": "at"}}, "quality": {"row_rules": [{"not_null": "id"}]}}
+    assert not {"DEL-001", "VOL-001", "QLT-001"} & codes(kept)
+    assert "SENS-001" in codes({"name": "x", "model": {"fields": [{"name": "a", "sensitive": True}]}})
+    assert {"STREAM-001", "STREAM-002"} <= codes({"name": "x", "source": {"trigger": "continuous"}, "materialization": {"strategy": "append"}})
+    assert "SRC-001" in codes({"name": "x", "layer": "bronze", "source": {"type": "landing"}})
+    assert {"OWN-001", "OWN-002"} <= codes({"name": "x", "ownership": {"technical_owner": {"person": "p"}}})
+    post = {"derive": {"field": "net", "sql": "1", "phase": "post"}}
+    assert "PHS-001" in codes({"name": "x", "transformations": [post], "quality": {"row_rules": [{"name": "r", "sql": "net > 0", "phase": "pre"}]}})
     assert "TRF-001" in codes({"name": "x", "transformations": [{"nope": {}}]})
     assert "PARSE-000" in codes({"nam": "x"})
     assert {"PII-001", "SCD-001"} <= codes({"name": "x", "primary_key": ["id"], "materialization": {"strategy": "scd2"}, "model": {"fields": [{"name": "id"}, {"name": "email"}]}})

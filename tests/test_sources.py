@@ -119,7 +119,7 @@ def test_pipeline_log_skips_failed_runs(spark):
     assert I.pipeline_log(runs, "d").start == datetime(2024, 1, 1)
 
 
-def test_manifest(tmp_path):
-    m = I.Manifest(str(tmp_path / "m.json"))
+def test_manifest(spark, tmp_path):
+    m = I.Manifest(spark, str(tmp_path / "done"))
     m.add(["a"])
     assert m.pending(["a", "b"]) == ["b"]
