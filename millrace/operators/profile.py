@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,25 @@ def profile(df: DataFrame, sensitive: set[str] = frozenset(), exact: bool = Fals
     return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
 
 
+def footer_profile(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(column, rows, non_null, min, max) of numbers, dates and booleans of Parquet files, from their footers alone."""
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+        names = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType | T.DateType | T.BooleanType) and not isinstance(f.dataType, T.DecimalType)]
+        row = df.agg(F.count("*").alias("n"), *[g(col(c)).alias(f"{p}{i}") for i, c in enumerate(names) for p, g in (("c", F.count), ("l", F.min), ("h", F.max))])
+        parts = [F.struct(F.lit(c).alias("column"), F.col("n").alias("rows"), F.col(f"c{i}").alias("non_null"), F.col(f"l{i}").cast("string").alias("min"), F.col(f"h{i}").cast("string").alias("max")) for i, c in enumerate(names)]
+        out = row.select(F.inline(F.array(*parts)))
+        out._jdf.queryExecution().executedPlan()  # planned while the settings hold
+        return out
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def frequencies(df: DataFrame, name: str, k: int = 20) -> DataFrame:
     """The ``k`` most frequent values; ties by value."""
     return df.groupBy(col(name).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col("value").asc_nulls_last()).limit(k)

@@ -334,7 +334,7 @@ def deduplicate(df: DataFrame, config: Any, ctx: Context) -> DataFrame:
 
 @transform("deduplicate_by_latest")
 def deduplicate_by_latest(df: DataFrame, config: Any, ctx: Context) -> DataFrame:
-    return deduplicate(df, {"on": config.get("on") or config["keys"], "sort_by": config.get("sort_by") or config["timestamp"], "order": "desc"}, ctx)
+    return deduplicate(df, {"on": config.get("on") or config["keys"], "sort_by": config.get("sort_by") or config.get("timestamp_column") or config["timestamp"], "order": "desc"}, ctx)
 
 
 def _orderable(kind: T.DataType) -> bool:

@@ -115,6 +115,8 @@ class Processor:
         one_frame = good is pre_good and not post
         good, bad, results = self._dataset_rules(good, bad)
         one_frame = one_frame and (c.quarantine.get("on_dataset_failure", "continue") != "quarantine" or all(x.passed is not False for x in results))
+        for name, value in (c.lineage.get("add_columns") or {}).items():  # constants of the contract
+            good, bad = good.withColumn(name, F.lit(value)), bad.withColumn(name, F.lit(value))
         if c.lineage.get("enabled", True):
             flags = c.lineage.get("columns")
             good = G.lineage(good, info, flags, c.lineage.get("upstream_prefix"))

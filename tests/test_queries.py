@@ -3,6 +3,7 @@ import sys
 
 import pytest
 
+from millrace.plans import coverage_queries  # noqa: F401 - registers its queries
 from millrace.plans import queries as Q
 from millrace.plans import table_queries  # noqa: F401 - registers its queries
 
