@@ -13,18 +13,15 @@ from .schema import Field
 
 
 def _easter(year: Column) -> Column:
-    """Easter Sunday of the Gregorian calendar (Gauss's rule in integer steps)."""
-    div = lambda a, b: F.floor(a / F.lit(b))
-    a, b, c = year % 19, div(year, 100), year % 100
-    d, e = div(b, 4), b % 4
-    f = div(b + 8, 25)
-    g = div(b - f + 1, 3)
-    h = (19 * a + b - d - g + 15) % 30
-    i, k = div(c, 4), c % 4
-    m = (32 + 2 * e + 2 * i - h - k) % 7
-    n = div(a + 11 * h + 22 * m, 451)
-    s = h + m - 7 * n + 114
-    return F.make_date(year, div(s, 31).cast("int"), (s % 31 + 1).cast("int"))
+    """Easter Sunday of the Gregorian calendar, by J.-M. Oudin's rule of 1940: the Sunday after the paschal full moon."""
+    whole = lambda x, n: F.floor(x / F.lit(n))
+    century, golden = whole(year, 100), year % 19
+    lunar = century - whole(century, 4) - whole(century - whole(century - 17, 25), 3)
+    epact = (lunar + 19 * golden + 15) % 30
+    late = whole(epact, 28)
+    moon = epact - late * (1 - late * F.floor(F.lit(29) / (epact + 1)) * whole(21 - golden, 11))  # days from 21 March to the full moon
+    weekday = (year + whole(year, 4) + moon + 2 - century + whole(century, 4)) % 7
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(28)), (moon - weekday).cast("int"))
 
 
 def _nth(year: Column, month: int, weekday: int, n: int) -> Column:

@@ -258,7 +258,8 @@ def rollup(df: DataFrame, config: Any, ctx: Context) -> DataFrame:
         traced = F.collect_set(one) if config.get("distinct", True) else F.collect_list(one)
         out.append(F.sort_array(traced).alias(config.get("rollup_keys_column") or "_dc_rollup_keys"))
         if config.get("rollup_keys_count_column"):
-            out.append((F.count_distinct(one) if config.get("distinct", True) else F.count(one)).alias(config["rollup_keys_count_column"]))
+            # of the same set, so that rows aren't expanded for a distinct count
+            out.append((F.size(traced).cast("long") if config.get("distinct", True) else F.count(one)).alias(config["rollup_keys_count_column"]))
     run = config.get("upstream_run_id_column") or ctx.upstream_run_id
     if config.get("upstream_run_ids_column") and run in df.columns:
         out.append(F.sort_array(F.collect_set(col(run))).alias(config["upstream_run_ids_column"]))

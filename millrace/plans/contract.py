@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 import yaml
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from ..functions.types import is_numeric, spark_type
 from ..operators import dataset_rules as D
 from ..operators import rules as R
 from ..operators.schema import Field, Policy
@@ -123,6 +126,8 @@ def _govern(c: Contract) -> Contract:
     m = c.materialization
     if m.get("fact_type") == "transaction" and c.strategy != "append":
         raise ContractError("a transaction fact is append-only")
+    if m.get("fact_type") == "factless" and any(is_numeric(spark_type(f.type) or T.StringType()) and f.name not in c.primary_key and not f.name.endswith(("_key", "_id", "_sk")) for f in c.fields):
+        warnings.warn(f"{c.name}: a factless fact has measures", stacklevel=3)
     if c.source.get("load_mode") == "cdc":
         c.materialization = {"strategy": "merge", "soft_delete": True} | m
         c.source = {"watermark_strategy": "pipeline_log"} | c.source

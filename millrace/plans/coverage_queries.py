@@ -663,3 +663,16 @@ def g_synthetic_counts(spark: SparkSession, sf: str) -> DataFrame:
     return df.agg(
         F.count("*").alias("rows"), F.count_if(~marked & broken).alias("valid_but_broken"), F.count_if(marked & ~broken).alias("marked_but_whole"), (F.abs(F.count_if(marked) / F.count("*") - 0.2) < 0.05).alias("share_is_near")
     )
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey + 100 ELSE s_nationkey END AS s_nationkey, 'inserted ' || count(*) OVER () || ' changed ' || count(*) FILTER (s_suppkey % 5 = 0) OVER () || ' again 0' AS written FROM supplier")
+def m_database_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows into a database by key: new ones, changed ones, and none a second time (the Derby that Spark brings, in memory)."""
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = f"jdbc:derby:memory:{folder(spark).rsplit('-', 1)[-1]};create=true"
+    s = table(spark, sf, "supplier").select("s_suppkey", col("s_nationkey").cast("int").alias("s_nationkey"))
+    sinks.execute_jdbc(spark, url, ['CREATE TABLE t ("s_suppkey" BIGINT NOT NULL PRIMARY KEY, "s_nationkey" INT)'])
+    new = s.withColumn("s_nationkey", F.when(col("s_suppkey") % 5 == 0, col("s_nationkey") + 100).otherwise(col("s_nationkey")))
+    counts = [sinks.upsert_jdbc(df, url, "t", ["s_suppkey"]) for df in (s, new, new)]
+    said = f"inserted {counts[0]} changed {counts[1]} again {counts[2]}"
+    return spark.read.format("jdbc").option("url", url).option("dbtable", "t").load().withColumn("written", F.lit(said))

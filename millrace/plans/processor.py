@@ -162,8 +162,7 @@ class Processor:
     def read(self, now: datetime | None = None, target: DataFrame | None = None, runs: DataFrame | None = None, **window: Any) -> DataFrame:
         """The contract's source, from where the last run stopped."""
         s = self.contract.source
-        cfg = files.SourceConfig(s.get("path", ""), s.get("format", "parquet"), s.get("table"), s.get("options") or {}, self.contract.fields, s.get("text") or {}, bool(s.get("flatten_nested")))
-        df = files.read(self.spark, cfg)
+        df = files.read(self.spark, files.source_config(s, self.contract.fields))
         if window.get("reprocess_values") is not None:
             return files.reprocess(df, window["reprocess_column"], values=window["reprocess_values"])
         boundary = incremental.resolve(s | {"dataset": self.contract.dataset}, now or datetime.now(), target, runs, **window)

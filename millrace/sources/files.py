@@ -63,6 +63,25 @@ def read(spark: SparkSession, config: SourceConfig) -> DataFrame:
     return flatten(df) if config.flatten_nested else df
 
 
+#: what a source's type says of its format
+TYPES = {"table": "table", "delta": "delta", "iceberg": "iceberg", "database": "jdbc", "sftp": "sftp", "dlt": "dlt", "mongodb": "mongodb", "rest": "rest", "api": "rest"}
+
+
+def source_config(source: dict[str, Any], fields: list[Field] = ()) -> SourceConfig:
+    """A contract's source, by its type: landing and stream are files of their format, others name what they are."""
+    kind = source.get("type")
+    if kind is not None and kind not in {*TYPES, "landing", "stream", "files", "file"}:
+        raise ValueError(f"unknown source type: {kind!r}")
+    options = dict(source.get("options") or {})
+    format = TYPES.get(kind) or source.get("format", "parquet")
+    if kind == "database":
+        options |= {"url": source.get("url") or options.get("url"), "dbtable": source.get("table") or options.get("dbtable")}
+    by_name = source.get("table") if kind != "database" else None
+    if kind == "table" and not by_name:
+        by_name = source.get("path")
+    return SourceConfig(source.get("path", source.get("url", "")), format, by_name, options, list(fields), source.get("text") or {}, bool(source.get("flatten_nested")))
+
+
 def _paths(config: SourceConfig) -> list[str]:
     return [config.path] if isinstance(config.path, str) else list(config.path)
 
@@ -257,10 +276,57 @@ for _name in ("delta", "iceberg", "avro"):
 
     READERS[_name] = _package
 
-for _name in ("excel", "mongodb", "sftp", "dlt", "kinesis", "pubsub"):
+for _name in ("mongodb", "sftp", "dlt", "kinesis", "pubsub"):
     READERS[_name] = lambda spark, c, name=_name: missing_integration(name)
 
 
+@register("excel")
+def _excel(spark: SparkSession, c: SourceConfig) -> DataFrame:
+    """Rows of a sheet of xlsx workbooks as text; ``sheet`` (name or number), ``header_row`` (None without one), ``skip_footer``."""
+    o = c.options
+    how = {"sheet": o.get("sheet", 0), "header_row": o.get("header_row", 0), "skip_footer": int(o.get("skip_footer", 0))}
+    books = spark.read.format("binaryFile").load(_paths(c)).select("content")
+    names = [f.name for f in c.fields]
+    declared = bool(names)
+    if how["header_row"] is not None and not names:
+
+        def head(frames):
+            import pandas as pd
+
+            from .excel import table
+
+            for frame in frames:
+                yield pd.DataFrame({"names": [next(table(bytes(b), **how)) for b in frame["content"]]})
+
+        first = books.limit(1).mapInPandas(head, "names array<string>").first()
+        names = [n or f"column_{i}" for i, n in enumerate(first["names"])] if first else names
+
+    def rows(frames):
+        import pandas as pd
+
+        from .excel import table
+
+        for frame in frames:
+            for content in frame["content"]:
+                lines, held, order = table(bytes(content), **how), [], None
+                if how["header_row"] is not None and not o.get("by_place"):  # by name: a workbook may have its columns in another order
+                    own = [n or f"column_{i}" for i, n in enumerate(next(lines))]
+                    if set(own) - set(names) and not declared:
+                        raise ValueError(f"workbooks have different columns ({sorted(set(own) - set(names))}); declare the fields that are wanted")
+                    order = [own.index(n) if n in own else None for n in names]
+                elif how["header_row"] is not None:
+                    next(lines)
+                for line in lines:
+                    held.append([line[k] if k is not None and k < len(line) else None for k in (order or range(len(names)))])
+                    if len(held) == 10_000:
+                        yield pd.DataFrame(held, columns=names, dtype=object)
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=names, dtype=object)
+
+    return books.mapInPandas(rows, ", ".join(f"`{n}` string" for n in names))
+
+
 @register("rest")
 def _rest(spark: SparkSession, c: SourceConfig) -> DataFrame:
     """Pages of a web API; ``options`` are those of a RestSource, and ``landing``, the folder that rows are written to."""

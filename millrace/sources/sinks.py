@@ -357,6 +357,78 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
     writer.save()
 
 
+def _merge_sql(url: str, table: str, staging: str, keys: list[str], names: list[str]) -> list[str]:
+    """Statements that bring staged rows into a table; rows that wouldn't change are left alone."""
+    rest = [n for n in names if n not in keys]
+    listed, source = ", ".join(names), ", ".join(f"s.{n}" for n in names)
+    kind = url.split(":")[1]
+    if kind in ("postgresql", "sqlite", "duckdb"):
+        changed = " OR ".join(f"{table}.{n} IS DISTINCT FROM excluded.{n}" if kind != "sqlite" else f"{table}.{n} IS NOT excluded.{n}" for n in rest)
+        action = f"DO UPDATE SET {', '.join(f'{n} = excluded.{n}' for n in rest)} WHERE {changed}" if rest else "DO NOTHING"
+        return [f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {staging} WHERE true ON CONFLICT ({', '.join(keys)}) {action}"]
+    if kind in ("mysql", "mariadb"):
+        action = ", ".join(f"{n} = VALUES({n})" for n in rest) or f"{keys[0]} = {keys[0]}"
+        return [f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {staging} ON DUPLICATE KEY UPDATE {action}"]
+    same = " AND ".join(f"t.{k} = s.{k}" for k in keys)
+    changed = " OR ".join(f"t.{n} <> s.{n} OR (t.{n} IS NULL AND s.{n} IS NOT NULL) OR (t.{n} IS NOT NULL AND s.{n} IS NULL)" for n in rest)
+    update = f" WHEN MATCHED AND ({changed}) THEN UPDATE SET {', '.join(f'{n} = s.{n}' for n in rest)}" if rest else ""
+    end = ";" if kind == "sqlserver" else ""
+    return [f"MERGE INTO {table} {'AS ' if kind != 'oracle' else ''}t USING {staging} {'AS ' if kind != 'oracle' else ''}s ON {same}{update} WHEN NOT MATCHED THEN INSERT ({listed}) VALUES ({source}){end}"]
+
+
+def execute_jdbc(spark: SparkSession, url: str, statements: list[str], driver: str | None = None, user: str | None = None, password: str | None = None) -> int:
+    """Statements in one transaction, from the driver; rows that they changed."""
+    jvm = spark.sparkContext._jvm
+    if driver:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
+    how = jvm.java.util.Properties()
+    for k, v in (("user", user), ("password", password)):
+        if v is not None:
+            how.setProperty(k, v)
+    connection, changed = jvm.java.sql.DriverManager.getConnection(url, how), 0
+    try:
+        connection.setAutoCommit(False)
+        for sql in statements:
+            s = connection.createStatement()
+            changed += max(0, s.executeUpdate(sql))
+            s.close()
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+    return changed
+
+
+def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], batch: int = 10_000, partitions: int | None = None, batch_key: str | None = None, **how: str) -> int:
+    """Rows into a database table by their keys: new ones inserted, changed ones updated, others untouched; how many were written.
+
+    Rows go to a staging table of their own in parallel; one statement in one transaction then merges them, so a write
+    that fails leaves the table as it was.  Keys must be unique in ``df``.  With ``batch_key`` rows of the
+    same batches that are no longer sent go.
+    """
+    spark, staging = df.sparkSession, f"stg_{uuid.uuid4().hex[:20]}"
+    # names as the database has them: Spark creates tables with quoted names
+    quote = "`" if url.split(":")[1] in ("mysql", "mariadb") else '"'
+    names = [f"{quote}{c}{quote}" for c in df.columns]
+    marked = [f"{quote}{k}{quote}" for k in keys]
+    access = {k: how.get(k) for k in ("driver", "user", "password")}
+    statements = _merge_sql(url, table, staging, marked, names)
+    if batch_key:
+        b, same = f"{quote}{batch_key}{quote}", " AND ".join(f"{staging}.{k} = {table}.{k}" for k in marked)
+        statements.insert(0, f"DELETE FROM {table} WHERE {b} IN (SELECT {b} FROM {staging}) AND NOT EXISTS (SELECT 1 FROM {staging} WHERE {same})")
+    # staged in the types of the table
+    listed, kind = ", ".join(names), url.split(":")[1]
+    make = f"SELECT {listed} INTO {staging} FROM {table} WHERE 1 = 0" if kind == "sqlserver" else f"CREATE TABLE {staging} AS SELECT {listed} FROM {table} " + ("WITH NO DATA" if kind in ("derby", "db2") else "WHERE 1 = 0")
+    execute_jdbc(spark, url, [make], **access)
+    try:
+        write_jdbc(df, url, staging, "append", batch, partitions, **how)
+        return execute_jdbc(spark, url, statements, **access)
+    finally:
+        execute_jdbc(spark, url, [f"DROP TABLE {staging}"], **access)
+
+
 def clustered(df: DataFrame, cluster_by: list[str], partitions: int | None = None) -> DataFrame:
     """Rows laid out by some columns, so that file statistics let scans skip: ranges, sorted inside."""
     cols = [col(c) for c in cluster_by if c in df.columns]
@@ -388,8 +460,10 @@ def secondary(df: DataFrame, targets: list[dict[str, Any]]) -> None:
     df = df.persist()
     try:
         for t in targets:
-            if t["format"] == "jdbc":
-                write_jdbc(df, t["url"], t["table"], t.get("mode", "append"))
+            if t["format"] == "jdbc" and t.get("mode") == "upsert":
+                upsert_jdbc(df, t["url"], t["table"], t["keys"], **t.get("properties", {}))
+            elif t["format"] == "jdbc":
+                write_jdbc(df, t["url"], t["table"], t.get("mode", "append"), **t.get("properties", {}))
             else:
                 write_files(df, t["path"], t["format"], t.get("mode", "overwrite"), t.get("partition_by"))
     finally:
