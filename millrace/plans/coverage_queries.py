@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import col
 from ..operators import dataset_rules as D
-from ..operators import fleet, merge as M, profile as P, rules as R, scd2 as V, slo as O
+from ..operators import erasure as E
+from ..operators import fleet, governance as G, merge as M, profile as P, rules as R, scd2 as V, slo as O
 from ..operators.schema import Field, cast_all_text, enforce, flatten_json, struct_drift
 from ..operators.transforms import Context, apply
 from ..sources import files, incremental, sinks
@@ -676,3 +677,46 @@ def m_database_upsert(spark: SparkSession, sf: str) -> DataFrame:
     counts = [sinks.upsert_jdbc(df, url, "t", ["s_suppkey"]) for df in (s, new, new)]
     said = f"inserted {counts[0]} changed {counts[1]} again {counts[2]}"
     return spark.read.format("jdbc").option("url", url).option("dbtable", "t").load().withColumn("written", F.lit(said))
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests for every tenth customer, one twice; some are closed, some are for another system."""
+    c = table(spark, sf, "customer").filter("c_custkey % 10 = 0").select(col("c_custkey").cast("string").alias("subject_id"), "c_custkey")
+    c = c.unionByName(c.filter("c_custkey % 20 = 0"))
+    status = F.when(col("c_custkey") % 30 == 0, "completed").when(col("c_custkey") % 40 == 0, "dry_run").otherwise("pending")
+    named = {"request_id": F.concat(F.lit("r"), "subject_id"), "framework": F.lit("gdpr"), "subject_column": F.lit("c_custkey"), "status": status, "system": F.when(col("c_custkey") % 70 == 0, "crm")}
+    rows = c.withColumns(named)
+    kinds = dict(p.rsplit(" ", 1) for p in E.REQUESTS.split(", "))
+    return rows.select(*[(col(n) if n in rows.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
+
+
+_WAITING = "c_custkey % 10 = 0 AND c_custkey % 30 <> 0 AND c_custkey % 70 <> 0"
+
+
+def _worked_off(spark: SparkSession, sf: str) -> tuple[DataFrame, sinks.SnapshotTable, sinks.SnapshotTable]:
+    path = folder(spark)
+    requests, evidence = sinks.SnapshotTable(spark, f"{path}/requests"), sinks.SnapshotTable(spark, f"{path}/evidence")
+    requests.write(_requests(spark, sf))
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    out = E.work_off(c, requests, evidence, "c_custkey", [G.Masked("c_name", "redact")], "r1", "customer", datetime(2024, 5, 1), system="erp")
+    return out, requests, evidence
+
+
+@query(f"SELECT c_custkey, CASE WHEN {_WAITING} THEN '***REDACTED***' ELSE c_name END AS c_name, {_WAITING} AS gone FROM customer")
+def v_erasure_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Waiting requests of this system are worked off; closed ones and those of another system aren't."""
+    return _worked_off(spark, sf)[0].select("c_custkey", "c_name", col("_dc_is_deleted").alias("gone"))
+
+
+@query(f"""WITH s AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 20 = 0)
+SELECT CASE WHEN {_WAITING} OR c_custkey % 30 = 0 THEN 'completed' WHEN c_custkey % 40 = 0 THEN 'dry_run' ELSE 'pending' END AS status, count(*) AS requests, (SELECT count(*) FROM customer WHERE {_WAITING}) AS evidence_subjects FROM s GROUP BY 1""")
+def v_erasure_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    _, requests, evidence = _worked_off(spark, sf)
+    n = evidence.read().select(F.sum("subject_count").alias("n")).first()["n"]
+    return requests.read().groupBy("status").agg(F.count("*").alias("requests")).withColumn("evidence_subjects", F.lit(n).cast("long"))
+
+
+@query("SELECT c_custkey, sha2 AS c_name FROM (SELECT c_custkey, sha256('s' || c_name) AS sha2 FROM customer)")
+def v_mask_all_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of a frame that goes to developers."""
+    return G.apply_masks(table(spark, sf, "customer").select("c_custkey", "c_name"), [G.Masked("c_name", "hash")], salt="s")
