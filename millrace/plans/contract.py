@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 from typing import Any
 
 import yaml
@@ -134,6 +135,28 @@ def _govern(c: Contract) -> Contract:
     return c
 
 
+_NOW = re.compile(r"('(?:[^']|'')*')|\b(current_timestamp|now|current_date)\b(?:\s*\(\s*\))?", re.I)
+
+
+def pin_instant(c: Contract, at: datetime) -> Contract:
+    """The contract with one instant (UTC) for CURRENT_TIMESTAMP, NOW() and CURRENT_DATE in all its SQL."""
+    moment = (at.astimezone(timezone.utc) if at.tzinfo else at).strftime("%Y-%m-%d %H:%M:%S.%f")
+
+    def text(m: re.Match) -> str:
+        if m[1] or (m[2].lower() == "now" and not m[0].rstrip().endswith(")")):  # a literal, or a column called now
+            return m[0]
+        return f"DATE '{moment[:10]}'" if m[2].lower() == "current_date" else f"TIMESTAMP '{moment}'"
+
+    def pinned(x: Any) -> Any:
+        if isinstance(x, str):
+            return _NOW.sub(text, x)
+        if isinstance(x, dict):
+            return {k: pinned(v) for k, v in x.items()}
+        return [pinned(v) for v in x] if isinstance(x, list) else x
+
+    return replace(c, transformations=pinned(c.transformations), row_rules=pinned(c.row_rules), dataset_rules=pinned(c.dataset_rules))
+
+
 def created_post(c: Contract) -> set[str]:
     """Columns that only a post transform makes."""
     made: set[str] = set()

@@ -720,3 +720,13 @@ def v_erasure_evidence(spark: SparkSession, sf: str) -> DataFrame:
 def v_mask_all_rows(spark: SparkSession, sf: str) -> DataFrame:
     """All rows of a frame that goes to developers."""
     return G.apply_masks(table(spark, sf, "customer").select("c_custkey", "c_name"), [G.Masked("c_name", "hash")], salt="s")
+
+
+@query("SELECT n_nationkey, TIMESTAMP '2024-05-01 10:00:00' AS at, DATE '2024-05-01' AS day, 'now() and current_date' AS word FROM nation")
+def t_one_instant(spark: SparkSession, sf: str) -> DataFrame:
+    """All SQL of a run has one instant, in every phase; texts keep their words."""
+    made = [{"derive": {"field": f, "sql": s, "phase": p}} for f, s, p in (("at", "NOW()", "pre"), ("late", "CURRENT_TIMESTAMP", "post"), ("day", "current_date", "post"), ("word", "'now() and current_date'", "post"))]
+    rule = {"name": "same", "sql": "at = late AND at <= current_timestamp()"}
+    p = Processor(PLAIN | {"name": "n", "transformations": made, "quality": {"row_rules": [rule]}}, spark)
+    out = p.run(table(spark, sf, "nation").select("n_nationkey"), at=datetime(2024, 5, 1, 10)).good
+    return out.select("n_nationkey", col("at").cast("timestamp_ntz").alias("at"), "day", "word")

@@ -27,7 +27,8 @@ from ..operators import scd2 as V
 from ..operators import slo as O
 from ..operators import transforms as T
 from ..sources import files, incremental, sinks
-from .contract import Contract, ContractError, created_post, expand_dataset_rules, expand_rules, load
+from . import notify as N
+from .contract import Contract, ContractError, created_post, expand_dataset_rules, expand_rules, load, pin_instant
 
 
 class DatasetRuleFailed(RuntimeError):
@@ -94,8 +95,9 @@ class Processor:
 
     # -- frame in, frames out ------------------------------------------------
     def run(self, df: DataFrame, run_id: str | None = None, source: str = "", at: datetime | None = None, user_groups: set[str] = frozenset()) -> Result:
-        c = self.contract
-        info = G.RunInfo(run_id or uuid.uuid4().hex, c.name, c.version, source, c.domain, c.system, at=at or datetime.now(timezone.utc))
+        at = at or datetime.now(timezone.utc)
+        c = pin_instant(self.contract, at)
+        info = G.RunInfo(run_id or uuid.uuid4().hex, c.name, c.version, source, c.domain, c.system, at=at)
         raw = df
         if self.external is not None:
             made = self.external(df, contract=c, engine="spark", **(c.external_logic or {}).get("args", {}))
@@ -113,7 +115,7 @@ class Processor:
             good, late = R.split(R.evaluate(good, post))
             bad = bad.unionByName(late, allowMissingColumns=True)
         one_frame = good is pre_good and not post
-        good, bad, results = self._dataset_rules(good, bad)
+        good, bad, results = self._dataset_rules(good, bad, c)
         one_frame = one_frame and (c.quarantine.get("on_dataset_failure", "continue") != "quarantine" or all(x.passed is not False for x in results))
         for name, value in (c.lineage.get("add_columns") or {}).items():  # constants of the contract
             good, bad = good.withColumn(name, F.lit(value)), bad.withColumn(name, F.lit(value))
@@ -135,8 +137,7 @@ class Processor:
     def _made_later(self, name: str) -> bool:
         return name in created_post(self.contract)
 
-    def _dataset_rules(self, good: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame, list[D.DatasetResult]]:
-        c = self.contract
+    def _dataset_rules(self, good: DataFrame, bad: DataFrame, c: Contract) -> tuple[DataFrame, DataFrame, list[D.DatasetResult]]:
         rules = expand_dataset_rules(c)
         if not rules:
             return good, bad, []
@@ -280,12 +281,14 @@ class Processor:
         self.reprocess(result.good, table) if reprocessed and self.contract.strategy == "append" and "reprocess_policy" in c.materialization else self.materialize(result.good, table)
         levels = self.service_levels(table, counts, log)
         broken = sorted(k for k, ok in levels.items() if ok is False)
+        targets = N.targets_of(c.extra.get("notifications"))
+        faults = [f for event, text in N.events_of(counts, result.dataset_results, broken) for f in N.notify(targets, event, c.name, text)]
         if quarantine_path and counts["quarantined"]:
             sinks.quarantine(result.bad).write.mode("append").option("mergeSchema", True).parquet(quarantine_path)
         if log:
             log.add(
                 run_id=result.run.run_id, dataset=c.dataset or c.name, stage=stage, status="success", timestamp=datetime.now(), duration_s=time.time() - began,
                 counts_source=counts["source"], counts_good=counts["good"], counts_quarantined=counts["quarantined"], counts_dropped=counts["pre_transform_dropped"], quality_gate=gate,
-                message="; ".join(f"service level broken: {k}" for k in broken) or None,
+                message="; ".join([f"service level broken: {k}" for k in broken] + faults) or None,
             )
         return counts
