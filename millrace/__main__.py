@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
         found = A.lint(text)
         for f in found:
             print(f"{f.severity}: {f.code} {f.message}")
-        return int(any(f.severity == "error" for f in found))
+        return int(any(f.severity == "critical" for f in found))
     if args.command == "ddl":
         c = load(text)
         print(A.create_table(args.table, c.fields, args.dialect, c.materialization.get("partition_by") or [], c.primary_key))
