@@ -68,7 +68,38 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (runs without white space), and each text's offsets into them."""
+    """64-bit hashes of all words (runs without white space), and each text's offsets into them.
+
+    One long text is worked on in pieces that end at white space, so that no more than its words are held.
+    """
+    if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+        parts, at = [], 0
+        while at < len(data):
+            stop = _piece_end(data, at)
+            parts.append(_word_hashes(data[at:stop], np.array([0, stop - at]))[0])
+            at = stop
+        h = np.concatenate(parts)
+        return h, np.array([0, len(h)])
+    return _word_hashes(data, offsets)
+
+
+def _piece_end(data: np.ndarray, at: int) -> int:
+    """Behind the last white space of the next ``SLICE_BYTES``; of a longer word, behind the word."""
+    stop = min(len(data), at + SLICE_BYTES)
+    if stop == len(data):
+        return stop
+    space = np.flatnonzero(_SPACE[data[at:stop]])
+    if len(space):
+        return at + int(space[-1]) + 1
+    while stop < len(data):
+        space = np.flatnonzero(_SPACE[data[stop : stop + SLICE_BYTES]])
+        if len(space):
+            return stop + int(space[0]) + 1
+        stop += SLICE_BYTES
+    return len(data)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.empty(0, _U), np.zeros(len(offsets), np.int64)

@@ -4,7 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
-from millrace.llm import packing
+from millrace.llm import mixing, packing
+
+from test_mixing import brute_targets
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +46,10 @@ def test_stages_in_turn(spark, folder, tmp_path):
         sizes[r.source] += len(r.text.split())
     taken = Counter(r.doc_id for r in mixed)
     assert max(taken.values()) <= 2 and {r.doc_id for r in mixed} <= {r.doc_id for r in unique}
+    want, got = brute_targets(dict(sizes)), Counter()
+    for r in mixed:
+        got[r.source] += len(r.text.split())
+    assert all(abs(got[s] - want[s]) <= max(mixing.LARGE * sizes[s], 1) + 20 for s in sizes)  # small sources have no smaller rows left at the end
     total = sum(len(r.text.split()) for r in mixed)
     assert abs(total - 1.5 * sum(sizes.values())) <= 4 * 400
     assert sum(r.n_words for r in packed) == total

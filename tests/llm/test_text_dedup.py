@@ -166,3 +166,28 @@ def test_recall_of_the_sketches(words):
         n += 1
         hit += bool((x == y).any())
     assert n > 30 and hit / n > 0.97
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    import numpy as np
+
+    from millrace.llm import flat
+
+    rng = random.Random(1)
+    texts = [" ".join("w" * rng.choice([1, 3, 8, 400]) + str(rng.randrange(50)) for _ in range(300)), "x" * 5000, "  " * 800 + "a b", "ab " * 900 + "y" * 700 + " z"]
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        whole = flat._word_hashes(data, np.array([0, len(data)]))[0]
+        assert len(whole) == len(t.split())
+        for size in (64, 100, 257):
+            monkeypatch.setattr(flat, "SLICE_BYTES", size)
+            h, at = flat.word_hashes(data, np.array([0, len(data)]))
+            assert np.array_equal(h, whole) and at.tolist() == [0, len(whole)]
+
+
+def test_a_very_long_text(spark):
+    """7 MB in one text, and its copy with a changed word."""
+    words = " ".join(f"w{i % 100_003}" for i in range(1_000_000))
+    df = spark.createDataFrame([(1, words), (2, words.replace("w77 ", "changed ", 1)), (3, "short and other text here")], "doc_id long, text string")
+    got = {r.id: r.class_id for r in T.classes(df, Scratch(spark, "t")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
