@@ -53,7 +53,7 @@ THRESHOLD = 0.8
 SKETCHES = 12
 MINIMA = 3
 #: labelled k-mers of a block of a family
-FAMILY_BLOCK = 200_000
+FAMILY_BLOCK = 50_000
 
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
