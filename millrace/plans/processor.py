@@ -279,6 +279,11 @@ class Processor:
         gate = O.quality_gate(counts["good"], counts["quarantined"], (c.slo.get("quality") or {}).get("min_good_ratio"), (c.slo.get("quality") or {}).get("max_quarantine_ratio"))
         reprocessed = any(window.get(k) is not None for k in ("reprocess_from", "reprocess_to", "reprocess_values"))
         self.reprocess(result.good, table) if reprocessed and self.contract.strategy == "append" and "reprocess_policy" in c.materialization else self.materialize(result.good, table)
+        m = c.materialization
+        if m.get("secondary"):  # the same rows to further targets
+            sinks.secondary(result.good, m["secondary"])
+        if m.get("compact_files") and len(table.parts(table.version) or []) > int(m.get("compact_after", 20)):
+            table.compact(int(m["compact_files"]))
         levels = self.service_levels(table, counts, log)
         broken = sorted(k for k, ok in levels.items() if ok is False)
         targets = N.targets_of(c.extra.get("notifications"))

@@ -212,3 +212,34 @@ def test_old_versions_go(spark, tmp_path):
         t.write(spark.createDataFrame([(i,)], "id int"))
     assert rows_of(t) == [(4,)] and rows_of(t, 4) == [(3,)] and rows_of(t, 3) is None
     assert len(t.files.names(str(tmp_path / "t" / "data"))) == 2
+
+
+def test_a_contract_has_further_targets_and_compaction(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    contract = {
+        "name": "c", "source": {"path": str(tmp_path / "in")}, "lineage": {"enabled": False},
+        "materialization": {"strategy": "append", "secondary": [{"format": "json", "path": str(tmp_path / "copy")}], "compact_files": 1, "compact_after": 2},
+    }
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    for n in (1, 2, 1):
+        Processor(contract, spark).run_all(t)
+        assert len(t.parts(t.version)) == n
+    assert t.read().count() == 15 and spark.read.json(str(tmp_path / "copy")).count() == 5
+    spark.range(1).write.mode("overwrite").parquet(str(tmp_path / "in"))
+
+
+def test_a_contract_reprocesses_by_its_policy(spark, tmp_path):
+    from millrace.plans.contract import ContractError
+
+    df = spark.createDataFrame([(i, i % 2) for i in range(6)], "id int, p int")
+    for policy, rows in (("overwrite_partition", 4), ("overwrite_partition_safe", None), ("fail", None), ("append", 7), ("overwrite_all", 1), ("nonsense", None)):
+        p = Processor({"name": "c", "lineage": {"enabled": False}, "materialization": {"strategy": "append", "reprocess_policy": policy}}, spark)
+        t = SnapshotTable(spark, str(tmp_path / policy), ["p"])
+        p.materialize(df, t)
+        if rows is None:
+            with pytest.raises(ContractError):
+                p.reprocess(df.filter("id = 1"), t)
+            assert t.read().count() == 6
+        else:
+            p.reprocess(df.filter("id = 1"), t)
+            assert t.read().count() == rows
