@@ -87,6 +87,32 @@ def test_pairs_in_a_dense_group_are_found(spark):
     assert n >= 600 and recall >= E.RECALL - 0.01 and counts
 
 
+def test_a_larger_dense_group_has_the_same_recall(spark):
+    """Where all pairs are far more than a round's windows hold, and most classes aren't probes."""
+    x = dense(6000, 600)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r.id: r for r in E.near_duplicates(spark.createDataFrame(rows, KIND), Scratch(spark, "t")).collect()}
+    recall, n, counts = recall_of(x, got)
+    print(f"recall {recall:.4f} of {n} links")
+    assert n >= 3000 and recall >= E.RECALL - 0.01 and counts
+
+
+def test_probes_do_not_measure_what_they_found(spark, monkeypatch):
+    """Links that probes found in a round are no links of passes in the next, but links of the result."""
+    seen = []
+
+    def stub(classes, label, sizes, threshold, scratch):
+        seen.append({r.node for r in label.collect()})
+        return (0.5 if len(seen) == 1 else 1.0), spark.createDataFrame([(0, 59)] if len(seen) == 1 else [], "a long, b long")
+
+    monkeypatch.setattr(E, "probe", stub)
+    x = np.concatenate([np.eye(60), np.eye(60)[7:8] + 0.01])
+    df = spark.createDataFrame([(i, i, 60, v.tolist()) for i, v in enumerate(x)], "node long, tie long, w int, vector array<double>")
+    sizes = spark.createDataFrame([(60, 61)], "w int, n long")
+    got = {r.node: r.component for r in E.link_components(df, 61, sizes, 0.9, Scratch(spark, "t"), window=2).collect()}
+    assert seen == [{7, 60}, {7, 60}] and got == {0: 0, 59: 0, 7: 7, 60: 7}
+
+
 def test_recall_with_far_more_rows_than_a_window(spark):
     """4,000 planted pairs of cosine 0.9 to 0.95 among 20,000 vectors."""
     rng = np.random.default_rng(2)
@@ -126,6 +152,54 @@ def test_all_pairs_are_the_last_resort(spark, monkeypatch):
     assert {r.id: (r.n_links, r.component) for r in got} == brute(rows) | {1005: (0, 1005)}
 
 
+def test_rounds_are_the_same_at_every_size(spark, monkeypatch):
+    """Nothing but passes with wider windows follows a low recall, also where all pairs would be few; the last one holds all."""
+    none = spark.createDataFrame([], "a long, b long")
+    windows, forests, real = [], [], E.pass_forest
+
+    def noted(classes, passes, window, *rest):
+        windows.append((window, passes))
+        forests.append({tuple(r) for r in real(classes, passes, window, *rest).collect()})
+        return spark.createDataFrame(list(forests[-1]), "a long, b long") if forests[-1] else none
+
+    monkeypatch.setattr(E, "pass_forest", noted)
+    monkeypatch.setattr(E, "probe", lambda classes, label, sizes, threshold, scratch: (0.0, none))
+    rows = vectors(5)
+    got = E.near_duplicates(spark.createDataFrame(rows, KIND), Scratch(spark, "t")).collect()
+    assert [w for w, _ in windows] == [48, 192, 768] and windows[-1][1] == 1
+    assert {r.id: (r.n_links, r.component) for r in got} == brute(rows) | {1005: (0, 1005)}
+
+
+@pytest.mark.parametrize("window", [5, 40, 900])
+def test_windows_reach_over_blocks_and_partitions(spark, monkeypatch, window):
+    """A pass joins what lies within its windows, however its order is cut."""
+    monkeypatch.setattr(E, "COUNT_BLOCK", 16)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((30, 8)), 20, axis=0) + 0.25 * rng.standard_normal((600, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, i * 7 % 600, 8, v.tolist()) for i, v in enumerate(x)], "node long, tie long, w int, vector array<double>")
+    key = E.sign_keys(x, E.planes(8, 1, E.BITS, 17))[:, 0]
+    order = np.lexsort((np.arange(600) * 7 % 600, key))
+    place = np.empty(600, int)
+    place[order] = np.arange(600)
+    i, j = np.nonzero((x @ x.T >= 0.9) & (abs(place[:, None] - place[None]) <= window))
+    want = np.arange(600)
+    E.unite(want, i, j)
+    got = np.arange(600)
+    for parts in (1, 23):
+        monkeypatch.setattr(E, "BLOCKS", 3 * parts)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            found = [tuple(r) for r in E.pass_forest(df, 1, window, 0.9, 0, Scratch(spark, "t")).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        got[:] = np.arange(600)
+        E.unite(got, *np.array(found).T)
+        assert (got == want).all()
+
+
 def test_vectors_of_every_length_and_type_take_part(spark):
     near = [1.0, 0.01]
     rows = [(1, [1.0, 0.0], 0), (2, near, 0), (3, [0.0, 0.0, 1.0], 0), (4, [0.0, 0.1, 1.0], 0), (5, [1.0, 0.0, 0.0], 0), (6, [-3.0], 0), (7, [-0.5], 0), (8, [-0.0, 5.0], 0), (9, [0.0, 5.0], 0)]
