@@ -676,7 +676,7 @@ def m_database_upsert(spark: SparkSession, sf: str) -> DataFrame:
     new = s.withColumn("s_nationkey", F.when(col("s_suppkey") % 5 == 0, col("s_nationkey") + 100).otherwise(col("s_nationkey")))
     counts = [sinks.upsert_jdbc(df, url, "t", ["s_suppkey"]) for df in (s, new, new)]
     said = f"inserted {counts[0]} changed {counts[1]} again {counts[2]}"
-    return spark.read.format("jdbc").option("url", url).option("dbtable", "t").load().withColumn("written", F.lit(said))
+    return read(spark, SourceConfig(format="jdbc", options={"url": url, "dbtable": "t"})).withColumn("written", F.lit(said))
 
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions.expressions import any_of, col
 from ..functions.types import is_numeric, spark_type
 from ..operators.rules import READ_ERROR
 from ..operators.schema import Field, flatten
+from .sinks import only_driver_reaches, read_here
 
 
 @dataclass
@@ -251,14 +252,14 @@ def _zip(spark: SparkSession, c: SourceConfig) -> DataFrame:
 def _jdbc(spark: SparkSession, c: SourceConfig) -> DataFrame:
     """A database table or query; with bounds it is read in parallel ranges."""
     o = c.options
-    reader = spark.read.format("jdbc").option("url", o["url"]).option("fetchsize", o.get("fetch_size", 10_000))
-    reader = reader.option("query", o["query"]) if o.get("query") else reader.option("dbtable", o["dbtable"])
+    how = {"url": o["url"], "fetchsize": str(o.get("fetch_size", 10_000))} | ({"query": o["query"]} if o.get("query") else {"dbtable": o["dbtable"]})
+    how |= {k: o[k] for k in ("user", "password", "driver") if o.get(k)}
+    reader = spark.read.format("jdbc").options(**how)
     if o.get("partition_column"):
         reader = reader.option("partitionColumn", o["partition_column"]).option("lowerBound", o["lower"]).option("upperBound", o["upper"]).option("numPartitions", o.get("partitions", 8))
-    for k in ("user", "password", "driver"):
-        if o.get(k):
-            reader = reader.option(k, o[k])
     df = reader.load()
+    if only_driver_reaches(spark, o["url"]):
+        df = read_here(df, how)
     names = [f.name for f in c.fields if f.name in df.columns]
     return df.select(*names) if names else df
 

@@ -349,12 +349,74 @@ def archive_landing(spark: SparkSession, files: list[str], archive: str, table:
     return out
 
 
+#: databases inside the process that opens them, and how their addresses begin where a server holds them
+EMBEDDED = {"derby": ("//",), "h2": ("tcp:", "ssl:"), "hsqldb": ("hsql:", "hsqls:", "http:", "https:"), "sqlite": (), "duckdb": ()}
+
+
+def only_driver_reaches(spark: SparkSession, url: str) -> bool:
+    """Whether a database lives inside one process while tasks run in others: each of these would open one of its own."""
+    kind, at = url.split(":", 2)[1:]
+    return kind in EMBEDDED and not at.startswith(EMBEDDED[kind]) and not spark.sparkContext._jsc.sc().isLocal()
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 10_000, partitions: int | None = None, **properties: str) -> None:
     """Rows into a database table (its driver must be on the class path)."""
-    writer = (df.coalesce(partitions) if partitions else df).write.format("jdbc").mode(mode).option("url", url).option("dbtable", table).option("batchsize", batch)
-    for k, v in properties.items():
-        writer = writer.option(k, v)
-    writer.save()
+    options = {"url": url, "dbtable": table, "batchsize": str(batch)} | properties
+    here = only_driver_reaches(df.sparkSession, url)
+    if here and mode == "ignore" and _jdbc_schema(df.sparkSession, options):
+        return
+    frame = df.coalesce(partitions) if partitions else df
+    (df.limit(0) if here else frame).write.format("jdbc").mode(mode).options(**options).save()  # without rows no task runs, but the table is made
+    if here:
+        _write_here(df, options)
+
+
+def _jdbc_schema(spark: SparkSession, options: dict[str, Any]):
+    """A table's schema as the JVM holds it; None if there is no such table."""
+    jvm = spark.sparkContext._jvm
+    jdbc = jvm.org.apache.spark.sql.execution.datasources.jdbc
+    how = jdbc.JdbcOptionsInWrite(jvm.PythonUtils.toScalaMap(options))
+    connection = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).createConnectionFactory(how).apply(-1)
+    try:
+        found = jdbc.JdbcUtils.getSchemaOption(connection, how)
+    finally:
+        connection.close()
+    return found if found.isDefined() else None
+
+
+def _write_here(df: DataFrame, options: dict[str, Any]) -> None:
+    """Rows into a table that only the driver reaches: they come one partition at a time and are written by its JVM, a partition in a transaction."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    jdbc, context = jvm.org.apache.spark.sql.execution.datasources.jdbc, getattr(getattr(jvm.org.apache.spark, "TaskContext$"), "MODULE$")
+    how, dialect = jdbc.JdbcOptionsInWrite(jvm.PythonUtils.toScalaMap(options)), jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"])
+    schema, exact = df._jdf.schema(), spark.conf.get("spark.sql.caseSensitive") == "true"
+    insert = jdbc.JdbcUtils.getInsertStatement(options["dbtable"], schema, _jdbc_schema(spark, options), exact, dialect)
+    rows, wanted = df._jdf.toDF().toJavaRDD(), spark.sparkContext._gateway.new_array(jvm.int, 1)
+    for i in range(rows.getNumPartitions()):
+        wanted[0] = i
+        part = jvm.scala.jdk.javaapi.CollectionConverters.asScala(rows.collectPartitions(wanted)[0].iterator())
+        context.setTaskContext(context.empty())  # Spark's writer counts its rows there
+        try:
+            jdbc.JdbcUtils.savePartition(options["dbtable"], part, schema, insert, how.batchSize(), dialect, how.isolationLevel(), how)
+        finally:
+            context.unset()
+
+
+def read_here(df: DataFrame, options: dict[str, Any]) -> DataFrame:
+    """The rows of a JDBC frame whose database only the driver reaches, read by its JVM; they must fit the driver, as most such databases do."""
+    spark = df.sparkSession
+    jvm, schema = spark.sparkContext._jvm, df._jdf.schema()
+    how = jvm.org.apache.spark.sql.execution.datasources.jdbc.JDBCOptions(jvm.PythonUtils.toScalaMap(options))
+    connection = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).createConnectionFactory(how).apply(-1)
+    try:
+        statement = connection.createStatement()
+        statement.setFetchSize(how.fetchSize())
+        found = statement.executeQuery(f"SELECT * FROM {how.tableOrQuery()}")
+        rows = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils.resultSetToRows(found, schema).toList()
+    finally:
+        connection.close()
+    return DataFrame(spark._jsparkSession.createDataFrame(jvm.scala.jdk.javaapi.CollectionConverters.asJava(rows), schema), spark)
 
 
 def _merge_sql(url: str, table: str, staging: str, keys: list[str], names: list[str]) -> list[str]:

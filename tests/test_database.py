@@ -1,5 +1,8 @@
 """Database reads and writes, against the Derby that comes with Spark (which can't take null texts from Spark)."""
 
+import os
+import subprocess
+import sys
 import uuid
 
 import pytest
@@ -75,3 +78,30 @@ def test_unknown_source_types_are_refused():
     with pytest.raises(ValueError, match="unknown source type"):
         source_config({"type": "carrier pigeon"})
     assert source_config({"type": "landing", "path": "p", "format": "csv"}).format == "csv"
+
+
+IN_A_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+sys.path.insert(0, sys.argv[1] + "/tests")
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.driver.host", "127.0.0.1").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + sys.argv[2]).config("spark.sql.warehouse.dir", sys.argv[2] + "/w").getOrCreate()
+import __spark_entry__ as entry
+from oracle import FOLDER, same
+from millrace.sources import sinks
+same(spark, entry.queries()["m_database_upsert"], entry.oracle_sql()["m_database_upsert"])
+url, rows = "jdbc:derby:memory:c;create=true", spark.range(10).repartition(3)
+stored = lambda: sorted(r[0] for r in sinks.read_here(spark.read.format("jdbc").option("url", url).option("dbtable", "t").load(), {"url": url, "dbtable": "t"}).collect())
+for mode, n in (("append", 10), ("append", 20), ("ignore", 20), ("overwrite", 10)):
+    sinks.write_jdbc(rows, url, "t", mode)
+    assert len(stored()) == n
+assert stored() == list(range(10)) and not sinks.only_driver_reaches(spark, "jdbc:derby://host/d")
+print("equal")
+"""
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_a_database_inside_the_driver_of_a_cluster(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_"))} | {"SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": f"{repo}:{os.environ.get('PYTHONPATH', '')}"}
+    done = subprocess.run([sys.executable, "-c", IN_A_CLUSTER, repo, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert done.stdout.split()[-1:] == ["equal"], done.stderr[-3000:]
