@@ -29,11 +29,14 @@ SUPPLIER = [Field("s_suppkey", "bigint"), Field("s_acctbal", "double"), Field("s
 
 
 def _lines(spark: SparkSession, sf: str, path: str, line, head: list[str] = (), name: str = "supplier") -> None:  # noqa: ANN001
-    """One text file: head lines, then a line for every row of a table."""
-    body = table(spark, sf, name).select(F.lit(1).alias("k"), line.alias("value"))
-    first = spark.createDataFrame([(0, i, h) for i, h in enumerate(head)], "k int, i int, value string") if head else None
-    rows = body.withColumn("i", F.monotonically_increasing_id().cast("int"))
-    (rows.unionByName(first) if head else rows).orderBy("k", "i").select("value").coalesce(1).write.text(path)
+    """Text files with a line for every row of a table; each begins with the head lines."""
+    rows = table(spark, sf, name).select(line.alias("value"))
+    if rows.isEmpty():
+        rows = spark.createDataFrame([("\n".join(head),)], "value string").filter(F.lit(bool(head)))
+    elif head:  # ids count from zero in the 33 low bits of each partition, and a partition is a file
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        rows = rows.withColumn("value", F.when(first, F.concat(F.lit("\n".join([*head, ""])), "value")).otherwise(F.col("value")))
+    rows.write.option("maxRecordsPerFile", 0).text(path)
 
 
 # -- readers --------------------------------------------------------------------
