@@ -46,3 +46,9 @@ def test_text_of_a_table_in_several_files(spark, tmp_path, name, source, files):
     got = Q.QUERIES[name](spark, in_files(spark, FOLDER, tmp_path, **{source: files})).toArrow()
     want = duckdb.sql(Q.ORACLES[name].replace(f"FROM {source}", f"FROM '{FOLDER}/{source}.parquet'")).to_arrow_table()
     assert rows(got) == (rows(want) if files else (rows(want)[0], []))
+
+
+@pytest.mark.parametrize("days,rows_a_day", [(9, 210_000), (9, 50_000), (9, 49_999), (3, 10), (0, 0)])
+def test_anomaly_of_many_and_few_events(spark, tmp_path, days, rows_a_day):
+    duckdb.sql(f"COPY (SELECT TIMESTAMP '2024-01-28' - INTERVAL 1 DAY * (i % {max(1, days)}) AS ts FROM range({days * rows_a_day}) r(i)) TO '{tmp_path}/events.parquet'")
+    same(spark, Q.QUERIES["o_anomaly_average"], Q.ORACLES["o_anomaly_average"], str(tmp_path))
