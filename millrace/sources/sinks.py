@@ -491,9 +491,23 @@ def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], batch: int
         execute_jdbc(spark, url, [f"DROP TABLE {staging}"], **access)
 
 
+#: rows and bytes of one range of a clustered table, about
+RANGE_ROWS, RANGE_BYTES = 1_000_000, 128 << 20
+
+
 def clustered(df: DataFrame, cluster_by: list[str], partitions: int | None = None) -> DataFrame:
-    """Rows laid out by some columns, so that file statistics let scans skip: ranges, sorted inside."""
+    """Rows laid out by some columns, so that file statistics let scans skip: ranges, sorted inside.
+
+    There are more ranges than asked for where these would hold too much, so that no task grows with the table;
+    rows of one key stay in one range.
+    """
     cols = [col(c) for c in cluster_by if c in df.columns]
+    wide = [F.coalesce(F.octet_length(F.to_json(F.struct(c)) if is_nested(f.dataType) else c), F.lit(0)) for f in df.schema if is_nested(f.dataType) or isinstance(f.dataType, T.StringType | T.BinaryType) for c in [col(f.name)]]
+    size = sum(wide, F.lit(16 * len(df.columns)).cast("long"))
+    held = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    need = max(-(-held["rows"] // RANGE_ROWS), -(-held["size"] // RANGE_BYTES))
+    if need > (partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))):
+        partitions = need
     return df.repartitionByRange(partitions, *cols).sortWithinPartitions(*cols) if partitions else df.repartitionByRange(*cols).sortWithinPartitions(*cols)
 
 

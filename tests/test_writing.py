@@ -243,3 +243,16 @@ def test_a_contract_reprocesses_by_its_policy(spark, tmp_path):
         else:
             p.reprocess(df.filter("id = 1"), t)
             assert t.read().count() == rows
+
+
+def test_ranges_of_a_clustered_table_follow_its_rows_and_bytes(spark, monkeypatch):
+    ranges = lambda df, n: sinks.clustered(df, ["k"], n).groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).orderBy("lo").collect()
+    many = spark.range(3_500_000).select(F.pmod(F.xxhash64("id"), F.lit(100_000)).alias("k"))
+    for df, rows in ((many, 3_500_000), (many.limit(100), 100), (many.limit(0), 0)):
+        got = ranges(df, 2)
+        assert sum(r.n for r in got) == rows and all(a.hi < b.lo for a, b in zip(got, got[1:], strict=False))
+        assert len(got) == min(rows, 4 if rows > 100 else 2)
+    monkeypatch.setattr(sinks, "RANGE_BYTES", 100_000)
+    wide = spark.range(100).select(F.col("id").alias("k"), F.array(F.repeat(F.lit("x"), 10_000)).alias("v"))
+    assert len(ranges(wide, 2)) >= 8
+    assert len(ranges(wide.withColumn("k", F.lit(1)), 2)) == 1  # a key isn't split
