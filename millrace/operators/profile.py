@@ -12,24 +12,44 @@ from ..functions.expressions import all_of, col
 from ..functions.types import is_nested
 
 
+def _groups(df: DataFrame, values: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """(i, n, a column of each type): how often value ``i`` is what, null being one too; and each value among these groups.
+
+    One pass, one shuffle, hash groups as wide as one value of each type: several ``count_distinct`` in one aggregate
+    make groups as wide as all columns and, beside extremes of texts, sort them.
+    """
+    kinds = [f.dataType for f in df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)]).schema]
+    slots = list({k.json(): k for k in kinds}.values())
+    rows = [F.struct(F.lit(i).alias("i"), *[(v if k == s else F.lit(None).cast(s)).alias(f"v{j}") for j, s in enumerate(slots)]) for i, (v, k) in enumerate(zip(values, kinds, strict=True))]
+    found = df.select(F.inline(F.array(*rows)))
+    return found.groupBy(*found.columns).agg(F.count("*").alias("n")), [F.when(F.col("i") == i, F.col(f"v{slots.index(k)}")) for i, k in enumerate(kinds)]
+
+
+def _rows_of(groups: Column) -> Column:
+    """Rows behind the groups that a condition names."""
+    return F.coalesce(F.sum(F.when(groups, F.col("n"))), F.lit(0))
+
+
 def profile(df: DataFrame, sensitive: set[str] = frozenset(), exact: bool = False) -> DataFrame:
     """One row per column from one aggregate: counts, distincts, extremes and lengths.
 
     Sensitive and boolean columns have no extremes; nested ones only counts.
     """
+    nested = [is_nested(f.dataType) or isinstance(f.dataType, T.BinaryType) for f in df.schema]
+    columns, source = [col(c) for c in df.columns], df
+    if exact:  # the same aggregates over the groups of equal values; of nested ones only whether there is one
+        source, columns = _groups(df, [F.when(c.isNotNull(), True) if bare else c for c, bare in zip(columns, nested, strict=True)])
     parts = []
-    for f in df.schema:
-        c = col(f.name)
-        nested = is_nested(f.dataType) or isinstance(f.dataType, T.BinaryType)
-        shown = not nested and f.name not in sensitive and not isinstance(f.dataType, T.BooleanType)
+    for f, bare, c in zip(df.schema, nested, columns, strict=True):
+        shown = not bare and f.name not in sensitive and not isinstance(f.dataType, T.BooleanType)
         text = isinstance(f.dataType, T.StringType)
-        n = F.count(c)
-        distinct = F.lit(None).cast("long") if nested else (F.count_distinct(c) if exact else F.least(F.approx_count_distinct(c), n))
+        n = _rows_of(c.isNotNull()) if exact else F.count(c)
+        distinct = F.lit(None).cast("long") if bare else (F.count(c) if exact else F.least(F.approx_count_distinct(c), n))
         parts.append(
             F.struct(
                 F.lit(f.name).alias("column"),
                 F.lit(f.dataType.simpleString()).alias("type"),
-                F.count("*").alias("rows"),
+                (_rows_of(F.col("i") == 0) if exact else F.count("*")).alias("rows"),
                 n.alias("non_null"),
                 distinct.cast("long").alias("distinct"),
                 (F.min(c).cast("string") if shown else F.lit(None).cast("string")).alias("min"),
@@ -38,7 +58,7 @@ def profile(df: DataFrame, sensitive: set[str] = frozenset(), exact: bool = Fals
                 (F.max(F.length(c)) if text else F.lit(None)).cast("long").alias("max_length"),
             )
         )
-    return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+    return source.agg(F.array(*parts).alias("p")).select(F.inline("p"))
 
 
 def footer_profile(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -85,7 +105,8 @@ def outside_accepted(df: DataFrame, name: str, accepted: list, k: int = 20) -> D
 
 
 def exact_distincts(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.agg(*[F.count_distinct(col(c)).alias(c) for c in names])
+    groups, values = _groups(df, [col(c) for c in names])
+    return groups.agg(*[F.count(v).alias(c) for c, v in zip(names, values, strict=True)])
 
 
 def discover_key(df: DataFrame, max_width: int = 3, names: list[str] | None = None) -> list[str] | None:
@@ -96,7 +117,10 @@ def discover_key(df: DataFrame, max_width: int = 3, names: list[str] | None = No
     """
     names = names or [f.name for f in df.schema if not is_nested(f.dataType) and not isinstance(f.dataType, T.DoubleType | T.FloatType)]
     temporal = {f.name for f in df.schema if isinstance(f.dataType, T.DateType | T.TimestampType | T.TimestampNTZType)}
-    row = df.agg(F.count("*").alias("__n"), *[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)], *[F.count_if(col(c).isNull()).alias(f"z{i}") for i, c in enumerate(names)]).first()
+    if not names:
+        return None
+    groups, values = _groups(df, [col(c) for c in names])
+    row = groups.agg(_rows_of(F.col("i") == 0).alias("__n"), *[F.count(v).alias(f"d{i}") for i, v in enumerate(values)], *[F.count_if((F.col("i") == i) & v.isNull()).alias(f"z{i}") for i, v in enumerate(values)]).first()
     n = row["__n"]
     if not n:
         return None
@@ -116,7 +140,7 @@ def discover_key(df: DataFrame, max_width: int = 3, names: list[str] | None = No
             continue
         for at in range(0, len(tries), 8):  # several combinations a pass
             part = tries[at : at + 8]
-            got = df.agg(*[F.count_distinct(F.struct(*[col(c) for c in combo])).alias(f"c{i}") for i, combo in enumerate(part)]).first()
+            got = exact_distincts(df.select(*[F.struct(*[col(c) for c in combo]).alias(f"c{i}") for i, combo in enumerate(part)]), [f"c{i}" for i in range(len(part))]).first()
             for i, combo in enumerate(part):
                 if got[f"c{i}"] == n:
                     return list(combo)

@@ -177,3 +177,24 @@ def test_pipeline_retries_and_skips():
     make = lambda n, layer, deps=(): load({"name": n, "layer": layer, "depends_on": list(deps)})
     out = Pipeline([make("a", "bronze"), make("b", "silver", ["a"]), make("c", "gold", ["b"]), make("d", "gold", ["a"])], step, Options(retries=1, wait_s=0)).run()
     assert {n: o.status for n, o in out.items()} == {"a": "success", "b": "failed", "c": "skipped", "d": "success"} and tries.count("b") == 2
+
+
+def test_exact_profile_sorts_nothing_and_counts_all(spark):
+    rows = [(i % 3 if i else None, ["b", "äö", "", None][i % 4], [0.0, -0.0, float("nan"), 1.5][i % 4], i % 2 == 0, bytes([i % 2]), [i], {"a": i} if i else None, datetime(2024, 1, 1 + i % 5), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "`a.b` int, s string, d double, t boolean, y binary, l array<int>, m map<string,int>, at timestamp, `select` bigint").withColumn("v", F.lit(None))
+    for frame in (df, df.limit(0), df.select("s")):
+        out = P.profile(frame, {"at"}, exact=True)
+        got = {r["column"]: r for r in out.collect()}
+        for f, r in zip(frame.schema, P.profile(frame, {"at"}).collect(), strict=True):  # all but distincts
+            assert got[f.name].asDict() | {"distinct": 0} == r.asDict() | {"distinct": 0}
+            bare = f.name in ("y", "l", "m")
+            assert got[f.name]["distinct"] == (None if bare else frame.select(F.count_distinct(f"`{f.name}`")).first()[0])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Sort [" not in plan and "Expand" not in plan
+    assert {n: P.exact_distincts(df, ["s", "d", "a.b"]).first()[n] for n in ("s", "d", "a.b")} == {"s": 3, "d": 3, "a.b": 3}
+
+
+def test_key_discovery_with_nulls_and_without_columns(spark):
+    df = spark.range(40).select(F.when(F.col("id") > 0, F.col("id")).alias("a"), (F.col("id") % 8).cast("string").alias("b"), F.floor(F.col("id") / 8).cast("string").alias("c"), F.lit(1).alias("d"))
+    assert P.discover_key(df) == ["b", "c"] and P.discover_key(df, names=["a", "b"]) is None
+    assert P.discover_key(df.select(F.array("a").alias("x"))) is None and P.discover_key(df.limit(0)) is None
