@@ -384,9 +384,13 @@ def _jdbc_schema(spark: SparkSession, options: dict[str, Any]):
     return found if found.isDefined() else None
 
 
+#: rows that the driver holds at once, about, while it writes them itself
+BROUGHT = 100_000
+
+
 def _write_here(df: DataFrame, options: dict[str, Any]) -> None:
-    """Rows into a table that only the driver reaches: they come one partition at a time and are written by its JVM, a partition in a transaction."""
-    spark = df.sparkSession
+    """Rows into a table that only the driver reaches: they come one partition of bounded size at a time and are written by its JVM, each in a transaction."""
+    spark, df = df.sparkSession, df.repartition(max(1, -(-df.count() // BROUGHT)))
     jvm = spark.sparkContext._jvm
     jdbc, context = jvm.org.apache.spark.sql.execution.datasources.jdbc, getattr(getattr(jvm.org.apache.spark, "TaskContext$"), "MODULE$")
     how, dialect = jdbc.JdbcOptionsInWrite(jvm.PythonUtils.toScalaMap(options)), jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"])

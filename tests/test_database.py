@@ -94,7 +94,9 @@ stored = lambda: sorted(r[0] for r in sinks.read_here(spark.read.format("jdbc").
 for mode, n in (("append", 10), ("append", 20), ("ignore", 20), ("overwrite", 10)):
     sinks.write_jdbc(rows, url, "t", mode)
     assert len(stored()) == n
-assert stored() == list(range(10)) and not sinks.only_driver_reaches(spark, "jdbc:derby://host/d")
+sinks.BROUGHT = 3
+sinks.write_jdbc(spark.range(10, 20), url, "t")
+assert stored() == list(range(20)) and not sinks.only_driver_reaches(spark, "jdbc:derby://host/d")
 print("equal")
 """
 
